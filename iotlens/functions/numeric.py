@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later filters must not be rewritten into.
+
+    The planner pushes a filter through projections by inlining their expressions; where
+    each step uses the previous one several times that multiplies the work.  A generator
+    of one row computes the columns once and stops the rewrite.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def clamp01(x) -> Column:
     """Limit to [0, 1]; NaN becomes 0."""
     return F.greatest(F.lit(0.0), F.least(F.nanvl(_c(x).cast("double"), F.lit(0.0)), F.lit(1.0)))

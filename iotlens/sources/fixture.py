@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iotlens.functions.numeric import settled
 from iotlens.session import ensure_utc
 
 # Start of the event table in UTC micros and the per-source time compression.
@@ -119,3 +120,81 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incoming(events: DataFrame) -> DataFrame:
     """Client packets: the only rows that reach the feature step."""
     return events.filter(F.col("direction") == "incoming")
+
+
+# ---- packets -------------------------------------------------------------------------------
+
+
+def _hex_byte(n) -> Column:
+    return F.lpad(F.hex(n.cast("long") if isinstance(n, Column) else F.lit(n)), 2, "0")
+
+
+def _hex_u16(n: Column) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 4, "0")
+
+
+def _hex_text(text: Column) -> Column:
+    return F.hex(text.cast("binary"))
+
+
+def _hex_prefixed(text: Column) -> Column:
+    return F.concat(_hex_u16(F.octet_length(text)), _hex_text(text))
+
+
+def _hex_mqtt(first: Column, body_hex: Column, extra: Column) -> Column:
+    """Fixed header with a one or two byte length field, then the body."""
+    n = F.octet_length(body_hex) / 2 + extra
+    n = n.cast("int")
+    length = F.when(n < 128, _hex_byte(n)).otherwise(F.concat(_hex_byte(n % 128 + 128), _hex_byte(F.floor(n / 128))))
+    return F.concat(_hex_byte(first), length, body_hex)
+
+
+def _mqtt_hex() -> Column:
+    kind, k = F.col("event_type"), F.col("k")
+    pid = F.lit("000A")
+    connect = F.concat(
+        F.lit("00044D51545404"), F.when(k % 5 == 0, "06").otherwise("02"), _hex_u16(k * 5),
+        _hex_prefixed(F.concat(F.lit("dev-"), _s("user_id"))),
+    )
+    filters = F.concat(pid, _hex_prefixed(F.lit("plain/topic")), F.lit("01"), _hex_prefixed(F.lit("site/+/dev")), F.lit("00"))
+    filler = F.repeat(F.lit("61"), F.col("bytes").cast("int"))
+    publish = F.concat(_hex_prefixed(_topic()), F.when(k % 3 > 0, pid).otherwise(""), filler)
+    retain = F.when((kind != "error") & (k % 10 == 0), 1).otherwise(0)
+    fault = F.when(kind == "error", 9).otherwise(0)
+    return (
+        F.when(kind == "signup", _hex_mqtt(F.lit(0x10), connect, F.lit(0)))
+        .when((kind == "purchase") & (k % 8 == 0), _hex_mqtt(F.lit(0x82), filters, F.lit(0)))
+        .when((kind == "click") & (k % 20 == 0), F.lit("6202000A"))
+        .otherwise(_hex_mqtt(F.lit(0x30) + (k % 3) * 2 + retain, publish, fault))
+    )
+
+
+def _coap_hex() -> Column:
+    kind, k = F.col("event_type"), F.col("k")
+    method = F.when(kind == "view", 1).when(kind == "click", 2).when(kind == "purchase", 3).otherwise(4)
+    observe, block = k % 6 == 0, k % 11 == 0
+    last = F.when(block, 23).when(k % 5 == 2, 15).otherwise(11)
+    options = F.concat(
+        F.when(observe, "60").otherwise(""),
+        F.when(observe, "5173").otherwise("B173"),
+        F.lit("01"), _hex_text((k % 4).cast("string")),
+        F.lit("0172"), F.lit("01"), _hex_text((k % 7).cast("string")),
+        F.when(k % 5 == 2, F.concat(F.lit("4D07"), F.repeat(F.lit("71"), 20))).otherwise(""),
+        F.when(block, F.concat(_hex_byte((F.lit(23) - F.when(k % 5 == 2, 15).otherwise(11)) * 16 + 1), F.lit("06"))).otherwise(""),
+        F.when(k % 5 == 0, F.concat(F.lit("D1"), _hex_byte(F.lit(60) - last - 13), F.lit("40")))
+        .when(k % 5 == 1, F.concat(F.lit("E0"), _hex_u16(F.lit(2049) - last - 269)))
+        .otherwise(""),
+    )
+    payload = F.concat(F.lit("FF"), F.repeat(F.lit("62"), F.col("bytes").cast("int")))
+    token = F.lpad(_s("k"), 2, "0")
+    body = F.concat(_hex_byte(F.lit(0x41) + (k % 4) * 16), _hex_byte(method), _hex_u16(F.col("mid")), token, options, payload)
+    return F.when(kind == "error", F.concat(F.lit("8001"), _hex_u16(F.col("mid")))).otherwise(body)
+
+
+def capture(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Binary packets whose decoded text is known from the event they were made from."""
+    ev = packet_events(spark, sf_dir).drop("payload")
+    packet = F.when(F.col("protocol") == "mqtt", _mqtt_hex()).otherwise(_coap_hex())
+    return settled(ev, {"payload": F.unhex(packet)}).select(
+        "event_id", "t_us", "protocol", F.col("source_id").alias("endpoint"), "direction", "payload", *extra
+    )
