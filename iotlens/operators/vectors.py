@@ -152,7 +152,9 @@ def behavioral_columns() -> dict[str, Column]:
     d = F.col("detail")
     res = D.resource(d)
     opened = D.is_open("event")
-    errors = F.col("err10").cast("double") / F.col("n10")
+    # A window always holds its own row; the guard only matters where a filter is evaluated early.
+    rows10 = F.nullif(F.col("n10"), F.lit(0))
+    errors = F.col("err10").cast("double") / rows10
     shared = [
         norm(F.col("n1"), RATE_CAP),
         F.lit(1.0) - clamp01(F.col("gap_ms") / float(GAP_CAP_MS)),
@@ -164,7 +166,7 @@ def behavioral_columns() -> dict[str, Column]:
         norm((F.col("t_us") - F.col("start_us")) / 1e6, SESSION_CAP_S),
         norm(F.col("resources10"), RESOURCE_CAP),
         errors,
-        F.col("hs10").cast("double") / F.col("n10"),
+        F.col("hs10").cast("double") / rows10,
         norm(F.col("breadth30"), BREADTH_CAP),
         norm(F.col("open30"), RECONNECT_CAP),
         size_per_resource("bytes", F.octet_length(res)),
@@ -181,7 +183,7 @@ def behavioral_columns() -> dict[str, Column]:
         E.text_entropy_unit("source_id"),
         norm(pop_std("n30", "b30", "bb30"), SIZE_STD_CAP),
     ]
-    options = F.col("opt10") / float(state.OPTION_SCALE) / F.col("n10")
+    options = F.col("opt10") / float(state.OPTION_SCALE) / rows10
     coap = [
         _share("con10"), _share("non10"), _share("ack10"), _share("rst10"),
         _choose(0.0, _flag(d.contains("observe"))),

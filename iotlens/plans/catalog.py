@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from iotlens.plans import queries_packets, queries_vectors  # noqa: F401
+from iotlens.plans import queries_analytics, queries_evaluate, queries_packets, queries_vectors  # noqa: F401
 from iotlens.plans.registry import ENTRIES, Entry
 
 
