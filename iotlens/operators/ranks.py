@@ -24,6 +24,15 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Full parallelism for a small table whose rows are about to fan out.
+
+    Adaptive execution sizes partitions by their bytes before the fan-out; a fixed number
+    keeps it from folding them into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cumulative(counts: DataFrame, groups: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """Adds ``before`` (rows of the group with a smaller value), ``total`` and ``lowest``.
 

@@ -131,7 +131,7 @@ def kernel_density(scores: DataFrame) -> DataFrame:
     counts = R.value_counts(scores, ["protocol"], "score")
     moments = scores.groupBy("protocol").agg(F.count("score").alias("rows"), F.stddev_samp("score").alias("sd"))
     usable = moments.filter((F.col("rows") >= KDE_MIN_ROWS) & (F.col("sd") > 0))
-    rows = counts.join(usable, "protocol").select(
+    rows = R.spread_out(counts.join(usable, "protocol")).select(
         "protocol", "score", "n", "rows", (F.col("sd") * KDE_FACTOR).alias("h"),
         F.explode(F.sequence(F.lit(0), F.lit(KDE_POINTS - 1))).alias("point"),
     )

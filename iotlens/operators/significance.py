@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +13,30 @@ from iotlens.operators import ranks as R
 DATASET_SIZE = 11209
 REPLICATES = 5000
 # Counts up to this use the exact Poisson inverse; larger ones the rounded normal.
-SMALL_COUNT = 16
-_U32 = float(1 << 32)
+SMALL_COUNT = 8
+# Fixed values of the keyed mixing: a prime field where x -> x^5 is one-to-one, and round constants.
+FIELD = (1 << 31) - 1
+ROUNDS = [1, 1013904223, 362437069, 521288629, 88675123]
 
 
-def _uniform(digest: Column, part: int) -> Column:
-    """Uniform number in (0, 1) from 8 hex digits of an md5 digest."""
-    piece = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double")
-    return (piece + 0.5) / _U32
+def with_uniform(df: DataFrame, value_key: Column, draw_key: Column, name: str) -> DataFrame:
+    """Adds a uniform number in (0, 1) that depends only on the two integer keys.
+
+    Each round adds the draw key and a constant and takes the fifth power in the field, which
+    scrambles both keys with whole-number arithmetic inside generated code.
+    """
+    df = df.select("*", F.pmod(value_key, F.lit(FIELD)).cast("long").alias("_x"), draw_key.cast("long").alias("_k"))
+    for c in ROUNDS:
+        df = df.withColumn("_x", (F.col("_x") + F.col("_k") + c) % FIELD)
+        df = df.withColumn("_x2", F.col("_x") * F.col("_x") % FIELD)
+        df = df.withColumn("_x4", F.col("_x2") * F.col("_x2") % FIELD)
+        df = df.withColumn("_x", F.col("_x4") * F.col("_x") % FIELD)
+    return df.withColumn(name, (F.col("_x") + 0.5) / float(FIELD)).drop("_x", "_x2", "_x4", "_k")
 
 
 def _poisson_cdf(mean: Column) -> Column:
     """Cumulative probabilities of Poisson(mean) for 0, 1, 2, ... up to a negligible tail."""
-    top = (mean + 8 * F.sqrt(mean) + 12).cast("int")
+    top = (mean + 6 * F.sqrt(mean) + 8).cast("int")
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("cdf"))
 
     def grow(acc, k):
@@ -36,34 +47,38 @@ def _poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, grow, lambda acc: acc["cdf"])
 
 
-def bootstrap_weights(counts: DataFrame, value: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Each (value, replicate) with a resampling weight.
+def _poisson_inverse(u: Column) -> Column:
+    """Smallest k with ``u <= _cdf[k]``; branches stop at the first hit."""
+    longest = int(SMALL_COUNT + 6 * SMALL_COUNT**0.5 + 8) + 1
+    out = F.when(u <= F.get("_cdf", F.lit(0)), 0.0)
+    for k in range(1, longest):
+        out = out.when(u <= F.get("_cdf", F.lit(k)), float(k))
+    return out.otherwise(F.size("_cdf").cast("double"))
+
+
+def resampled(counts: DataFrame, value: str, replicates: int, seed: int = 42) -> DataFrame:
+    """Each (value, replicate) with its resampling weight.
 
     ``counts`` holds one row per group and distinct value with its count ``n``.  The weight
-    of a value held by ``n`` rows is Poisson(n), drawn by an inverse cumulative from the md5
-    of (seed, value, block of four replicates).  Resamples therefore do not depend on
+    of a value held by ``n`` rows is Poisson(n), drawn by an inverse cumulative from a number
+    that depends on (seed, value, replicate) alone.  Resamples therefore do not depend on
     partitioning and rows are never copied.
     """
     mean = F.col("n").cast("double")
     small = F.col("n") <= SMALL_COUNT
     cdf = F.when(small, _poisson_cdf(F.least(mean, F.lit(float(SMALL_COUNT)))))
-    key = F.floor(F.col(value) * 1e9 + 0.5).cast("string")
-    blocks = counts.select("*", cdf.alias("_cdf"), key.alias("_key")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit((replicates + 3) // 4 - 1))).alias("_block")
-    )
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key"), F.col("_block").cast("string")).cast("binary"))
-    drawn = blocks.select("*", digest.alias("_digest")).select(
-        "*", F.posexplode(F.array(*[_uniform(F.col("_digest"), i) for i in range(4)])).alias("_part", "_u")
-    )
-    below = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
-    normal = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * normal_quantile(F.col("_u")) + 0.5))
-    weight = F.when(small, below.cast("double")).otherwise(normal)
-    return (
-        drawn.withColumn("replicate", F.col("_block") * 4 + F.col("_part"))
-        .filter(F.col("replicate") < replicates)
-        .withColumn("weight", weight)
-        .drop("_cdf", "_key", "_block", "_digest", "_part", "_u")
+    draws = counts.select("*", cdf.alias("_cdf"), F.floor(F.col(value) * 1e9 + 0.5).alias("_key")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     )
+    draws = with_uniform(draws, F.col("_key"), F.col("replicate") * 1000 + seed, "_u")
+    # Short steps: a generated method beyond the JIT compiler's size limit would run interpreted.
+    u = F.col("_u")
+    draws = draws.withColumn("_t", F.when(~small, _tail_root(u)))
+    draws = draws.withColumn("_z", normal_from_root(u, F.col("_t")))
+    large = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * F.col("_z") + 0.5))
+    draws = draws.withColumn("_large", large)
+    weight = F.when(small, _poisson_inverse(u)).otherwise(F.col("_large"))
+    return draws.select(*counts.columns, "replicate", weight.alias("weight"))
 
 
 # Rational approximation of the normal quantile (Abramowitz & Stegun 26.2.23).
@@ -71,28 +86,34 @@ _QC = [2.515517, 0.802853, 0.010328]
 _QD = [1.432788, 0.189269, 0.001308]
 
 
-def normal_quantile(u: Column) -> Column:
-    tail = F.least(u, F.lit(1.0) - u)
-    t = F.sqrt(F.log(tail) * -2.0)
+def _tail_root(u: Column) -> Column:
+    return F.sqrt(F.log(F.least(u, F.lit(1.0) - u)) * -2.0)
+
+
+def normal_from_root(u: Column, t: Column) -> Column:
+    """Normal quantile of ``u`` from ``t = sqrt(-2 ln(min(u, 1 - u)))``."""
     top = F.lit(_QC[0]) + t * _QC[1] + t * t * _QC[2]
     bottom = F.lit(1.0) + t * _QD[0] + t * t * _QD[1] + t * t * t * _QD[2]
     z = t - top / bottom
     return F.when(u < 0.5, -z).otherwise(z)
 
 
-def weighted_mean(value: str) -> Column:
-    return F.sum(F.col("weight") * F.col(value)) / F.sum("weight")
+Statistic = Callable[[Column], Column]
+
 
+def weighted_mean(value: str) -> Statistic:
+    return lambda w: F.sum(w * F.col(value)) / F.sum(w)
 
-def weighted_share(value: str, limit: float) -> Column:
-    return F.sum(F.when(F.col(value) >= limit, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+
+def weighted_share(value: str, limit: float) -> Statistic:
+    return lambda w: F.sum(F.when(F.col(value) >= limit, w).otherwise(0.0)) / F.sum(w)
 
 
 def bootstrap_ci(
     df: DataFrame,
     value: str,
     groups: list[str],
-    statistics: Mapping[str, Column],
+    statistics: Mapping[str, Statistic],
     *,
     replicates: int = REPLICATES,
     level: float = 0.95,
@@ -100,12 +121,13 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval of each weighted statistic per group.
 
-    Work is (distinct values x replicates), summed before the shuffle to one row per group
-    and replicate.
+    A statistic is an aggregate of a weight column.  Work is (distinct values x replicates),
+    summed before the shuffle to one row per group and replicate.
     """
-    counts = R.value_counts(df, groups, value)
-    weighted = bootstrap_weights(counts, value, replicates, seed)
-    per = weighted.groupBy(*groups, "replicate").agg(*[c.alias(n) for n, c in statistics.items()])
+    counts = R.spread_out(R.value_counts(df, groups, value))
+    per = resampled(counts, value, replicates, seed).groupBy(*groups, "replicate").agg(
+        *[fn(F.col("weight")).alias(n) for n, fn in statistics.items()]
+    )
     lo, hi = (1.0 - level) / 2.0, (1.0 + level) / 2.0
     # `replicates` rows per group, so the built-in exact percentile is safe here.
     return per.groupBy(*groups).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from iotlens.functions import text as X
 from iotlens.functions.numeric import round6 as r6
+from iotlens.functions.numeric import settled
 from iotlens.operators import counters, detect, drift, quality, scores, vectors
 from iotlens.operators import ranks as R
 from iotlens.plans import oracle_base as B
@@ -108,14 +109,11 @@ def log_to_dataset(spark, sf):
     f"{q6('f00')} AS active_f00, 33::INTEGER AS width FROM sc",
 )
 def feature_log_read(spark, sf):
-    log = _log(spark, sf)
-    lines = log.select("event_id", F.to_json(F.struct(*[
-        c.alias(n) for n, c in {
-            "ts": X.utc_stamp("t_us"), "protocol": F.col("protocol"), "source_id": F.col("source_id"),
-            "legacy": F.col("legacy"), "behavioral": F.col("behavioral"), "active": F.col("active"),
-            "decision": F.struct("allow", "action", "reason", "anomaly_score"),
-        }.items()
-    ])).alias("value"))
+    log = _log(spark, sf).select(
+        "event_id", X.utc_stamp("t_us").alias("ts"), "protocol", "source_id", "legacy", "behavioral", "active",
+        F.struct("allow", "action", "reason", "anomaly_score").alias("decision"),
+    )
+    lines = settled(log.select("event_id", F.struct(*log.columns[1:]).alias("row")), {"value": F.to_json("row")}).drop("row")
     rows = logs.good(logs.parse_lines(lines, FEATURE_LOG))
     return rows.select(
         "event_id", "protocol", "source_id", "decision.action", "decision.reason", "decision.allow",

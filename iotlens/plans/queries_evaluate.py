@@ -42,22 +42,24 @@ _Z = (
 )
 
 
+def _mixed_sql() -> str:
+    out = f"SELECT *, CAST(floor(v * 1e9 + 0.5) AS BIGINT) % {significance.FIELD} AS x FROM blocks"
+    for c in significance.ROUNDS:
+        out = f"SELECT * REPLACE ((x + replicate * 1000 + 42 + {c}) % {significance.FIELD} AS x) FROM ({out})"
+        out = f"SELECT * REPLACE ((x * x % {significance.FIELD}) * (x * x % {significance.FIELD}) % {significance.FIELD} * x % {significance.FIELD} AS x) FROM ({out})"
+    return f"SELECT protocol, v, n, cdf, replicate, (x + 0.5) / {significance.FIELD}.0::DOUBLE AS u FROM ({out})"
+
+
 def _bootstrap_sql(replicates: int) -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT protocol, v, n, cdf, block * 4 + {i} AS replicate, "
-        f"(CAST('0x' || substr(digest, {1 + 8 * i}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM blocks"
-        for i in range(4)
-    )
     return (
         B.WITH_SCORED
         + ", counts AS MATERIALIZED (SELECT protocol, anomaly_score AS v, count(*) AS n FROM sc GROUP BY ALL), "
         "cdfs AS (SELECT n, list(c ORDER BY k) AS cdf FROM (SELECT n, k, sum(exp(-CAST(n AS DOUBLE) + k * ln(CAST(n AS DOUBLE)) - lgamma(k + 1))) OVER "
-        "(PARTITION BY n ORDER BY k) AS c FROM range(1, 17) a(n), range(0, 61) b(k) WHERE k <= CAST(floor(n + 8 * sqrt(n) + 12) AS BIGINT)) GROUP BY n), "
-        f"blocks AS (SELECT protocol, v, c.n, cdf, block, md5('42:' || CAST(CAST(floor(v * 1e9 + 0.5) AS BIGINT) AS VARCHAR) || ':' || block) AS digest "
-        f"FROM counts c LEFT JOIN cdfs USING (n) CROSS JOIN range({(replicates + 3) // 4}) r(block)), "
-        f"draws AS ({parts}), "
-        f"w AS (SELECT protocol, v, replicate, CASE WHEN n <= 16 THEN CAST(len(list_filter(cdf, lambda c: c < u)) AS DOUBLE) "
-        f"ELSE greatest(0.0::DOUBLE, floor(n + sqrt(n) * CASE WHEN u < 0.5 THEN -{_Z} ELSE {_Z} END + 0.5)) END AS weight FROM draws WHERE replicate < {replicates}), "
+        "(PARTITION BY n ORDER BY k) AS c FROM range(1, 9) a(n), range(0, 61) b(k) WHERE k <= CAST(floor(n + 6 * sqrt(n) + 8) AS BIGINT)) GROUP BY n), "
+        f"blocks AS (SELECT protocol, v, c.n, cdf, replicate FROM counts c LEFT JOIN cdfs USING (n) CROSS JOIN range({replicates}) r(replicate)), "
+        f"draws AS ({_mixed_sql()}), "
+        f"w AS (SELECT protocol, v, replicate, CASE WHEN n <= 8 THEN CAST(len(list_filter(cdf, lambda c: c < u)) AS DOUBLE) "
+        f"ELSE greatest(0.0::DOUBLE, floor(n + sqrt(n) * CASE WHEN u < 0.5 THEN -{_Z} ELSE {_Z} END + 0.5)) END AS weight FROM draws), "
         "per AS (SELECT protocol, replicate, sum(weight * v) / sum(weight) AS mean, sum(CASE WHEN v >= 0.75 THEN weight ELSE 0.0 END) / sum(weight) AS flagged FROM w GROUP BY ALL) "
         "SELECT protocol, " + ", ".join(
             f"{q6(f'quantile_cont({c}, {q})')} AS {c}_{s}" for c in ("mean", "flagged") for s, q in (("lo", 0.025), ("hi", 0.975))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from iotlens.functions import text as X
+from iotlens.functions.numeric import settled
 from iotlens.schemas import DATASET, EVENT_LOG, FEATURE_LOG, FEATURE_RECORD, FEATURES, SNAPSHOT
 
 BAD = "_bad"
@@ -30,9 +31,9 @@ def parse_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -
     the result.
     """
     full = T.StructType(schema.fields + [T.StructField(BAD, T.StringType())])
-    parsed = lines.filter(F.trim(F.col(column)) != "").withColumn(
-        "_j", F.from_json(F.col(column), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
-    )
+    read = F.from_json(F.col(column), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    # Parsed once: the good/bad filters must not repeat the parse below themselves.
+    parsed = settled(lines.filter(F.trim(F.col(column)) != ""), {"_j": read})
     return parsed.select(*[c for c in lines.columns if c != column], "_j.*")
 
 
