@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def random_forest(features: Sequence[str], classes: int) -> list:
 def boosted_trees(features: Sequence[str], classes: int) -> list:
     """One booster per class: Spark's boosted trees are binary."""
     booster = GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.08, seed=SEED)
-    each = OneVsRest(classifier=booster, labelCol="label_index", weightCol="weight", parallelism=4)
+    each = OneVsRest(classifier=booster, labelCol="label_index", weightCol="weight", parallelism=8)
     return [_assembler(features, "features"), each]
 
 
@@ -84,7 +85,12 @@ def fit(rows: DataFrame, model: str, features: Sequence[str] = FEATURES, builder
     names = indexer.labels
     stages = (builder or BUILDERS[model])(features, len(names) + 1)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names, "unknown"])
-    return Pipeline(stages=[indexer, *stages, back]).fit(weighted(rows))
+    # Learners read the rows many times; lost blocks are recomputed from the input.
+    kept = weighted(rows).select("label", "weight", *features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[indexer, *stages, back]).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def predict(fitted: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("event_id", "label")) -> DataFrame:
@@ -174,6 +180,3 @@ def size_bytes(spark, path: str) -> int:
     """Stored size of a model folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-
-
-__all__ = ["BUILDERS", "Estimator", "experiment", "fit", "predict", "score"]

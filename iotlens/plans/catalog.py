@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from iotlens.plans import queries_analytics, queries_evaluate, queries_packets, queries_vectors  # noqa: F401
+from iotlens.plans import (  # noqa: F401
+    queries_analytics,
+    queries_evaluate,
+    queries_models,
+    queries_packets,
+    queries_vectors,
+)
 from iotlens.plans.registry import ENTRIES, Entry
 
 

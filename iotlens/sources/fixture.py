@@ -17,9 +17,7 @@ from iotlens.session import ensure_utc
 START_US = 1_704_067_200_000_000
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_utc(spark)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+def raw_events(ev: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return ev.select(
         "event_id",
@@ -86,9 +84,22 @@ def _coap_detail() -> Column:
 
 def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical packet events with run and label columns."""
+    ensure_utc(spark)
+    return as_packet_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def packet_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a file-backed stream."""
+    ensure_utc(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return as_packet_events(reader.option("maxBytesPerTrigger", 256 * 1024 * 1024).parquet(sf_dir))
+
+
+def as_packet_events(table: DataFrame) -> DataFrame:
     mqtt = F.col("protocol") == "mqtt"
     kind, src = F.col("event_type"), F.col("src")
-    df = raw_events(spark, sf_dir).withColumns(
+    df = raw_events(table).withColumns(
         {
             "t_us": F.expr(f"{START_US}L + (us - {START_US}L) div (3600 * (1 + 6 * (src % 5)))"),
             "source_id": F.concat("protocol", F.lit("-"), _s("src")),

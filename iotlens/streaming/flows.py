@@ -16,6 +16,14 @@ from iotlens.settings import Detection
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def run_to_table(df: DataFrame, folder: str, output_mode: str = "append") -> DataFrame:
+    """Runs a stream over everything available into a parquet table and reads it back."""
+    writer = df.writeStream.format("parquet").outputMode(output_mode)
+    query = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state that can outgrow memory needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
