@@ -62,16 +62,21 @@ def byte_entropy(payload) -> Column:
 
 def text_entropy(text) -> Column:
     """Bits per byte of a string column (bytes, not code points)."""
-    one_per_byte = F.decode(F.coalesce(_c(text), F.lit("")).cast("binary"), "ISO-8859-1")
-    n = F.length(one_per_byte).cast("double")
 
-    def part(ch):
-        count = (F.length(one_per_byte) - F.length(F.replace(one_per_byte, ch, F.lit("")))).cast("double")
-        return count * F.log2(count)
+    def of(line: Column) -> Column:
+        n = F.length(line).cast("double")
+
+        def part(ch: Column) -> Column:
+            count = (F.length(line) - F.length(F.replace(line, ch, F.lit("")))).cast("double")
+            return count * F.log2(count)
 
-    chars = F.array_distinct(F.split(one_per_byte, ""))
-    weighted = F.aggregate(chars, F.lit(0.0), lambda acc, ch: acc + F.when(ch == "", 0.0).otherwise(part(ch)))
-    return F.when(n <= 1, F.lit(0.0)).otherwise(F.greatest(F.log2(n) - weighted / n, F.lit(0.0)))
+        chars = F.array_distinct(F.split(line, ""))
+        weighted = F.aggregate(chars, F.lit(0.0), lambda acc, ch: acc + F.when(ch == "", 0.0).otherwise(part(ch)))
+        return F.when(n <= 1, F.lit(0.0)).otherwise(F.greatest(F.log2(n) - weighted / n, F.lit(0.0)))
+
+    # Bound as a lambda variable, the text is computed once and not once per character.
+    one_per_byte = F.decode(F.coalesce(_c(text), F.lit("")).cast("binary"), "ISO-8859-1")
+    return F.get(F.transform(F.array(one_per_byte), of), F.lit(0))
 
 
 def text_entropy_unit(text) -> Column:

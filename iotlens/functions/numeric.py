@@ -52,7 +52,8 @@ def to_float(value, fallback: float = 0.0) -> Column:
 def prefix_float(value, fallback: float) -> Column:
     """Number at the start of a text (``60abc`` gives 60), else the fallback."""
     found = F.regexp_extract(_c(value), r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1)
-    return F.coalesce(found.try_cast("double"), F.lit(float(fallback)))
+    # An empty text would raise and catch an error inside the cast for every row.
+    return F.coalesce(F.when(found != "", found).try_cast("double"), F.lit(float(fallback)))
 
 
 def unit_or(value, fallback: float) -> Column:

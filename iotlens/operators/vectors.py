@@ -147,10 +147,10 @@ def _share(name: str) -> Column:
     return _choose(0.0, F.when(total > 0, F.col(name).cast("double") / total).otherwise(0.0))
 
 
-def behavioral_columns() -> dict[str, Column]:
+def behavioral_columns(resource: Column | None = None) -> dict[str, Column]:
     """The 33 features from an event's own columns plus the per-source state."""
     d = F.col("detail")
-    res = D.resource(d)
+    res = D.resource(d) if resource is None else resource
     opened = D.is_open("event")
     # A window always holds its own row; the guard only matters where a filter is evaluated early.
     rows10 = F.nullif(F.col("n10"), F.lit(0))
@@ -211,7 +211,9 @@ def behavioral_vector(
         rows = rows.withColumn("payload_entropy", F.lit(0.0))
     needed = [n for f in features for n in NEEDS.get(f, [])]
     rows = state.source_state(rows, needed, buckets=buckets) if needed else rows
-    cols = behavioral_columns()
+    # Read from the text once; four features use it.
+    rows = rows.withColumn("_resource", D.resource("detail"))
+    cols = behavioral_columns(F.col("_resource"))
     kept = [c for c in events.columns if c != "payload"]
     return rows.select(*kept, *[cols[f].alias(f) for f in features])
 

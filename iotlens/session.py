@@ -1,7 +1,7 @@
 """Session helpers.
 
-Cluster settings come from the submitter.  Only two things are pinned here: the
-session zone (event times are UTC micros) and adaptive execution.
+Cluster settings come from the submitter.  Only the session zone and the size limit of
+generated methods are pinned (see :func:`prepare`).
 """
 
 from __future__ import annotations
@@ -28,10 +28,21 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
 
 
-def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session zone: timestamps without a zone are read as UTC."""
+# HotSpot does not compile methods beyond 8000 bytecodes.  Past that size a fused stage runs
+# interpreted, so Spark is told to fall back to its split, compilable projections there.
+JIT_METHOD_LIMIT = "8000"
+_LIMIT_KEY = "spark.sql.codegen.hugeMethodLimit"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session values the operators count on; a value the user chose is kept.
+
+    Times are UTC micros, so times without a zone must be read as UTC.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(_LIMIT_KEY, "65535") == "65535":
+        spark.conf.set(_LIMIT_KEY, JIT_METHOD_LIMIT)
     return spark
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iotlens.functions.numeric import settled
-from iotlens.session import ensure_utc
+from iotlens.session import prepare
 
 # Start of the event table in UTC micros and the per-source time compression.
 START_US = 1_704_067_200_000_000
@@ -84,13 +84,13 @@ def _coap_detail() -> Column:
 
 def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical packet events with run and label columns."""
-    ensure_utc(spark)
+    prepare(spark)
     return as_packet_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def packet_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a file-backed stream."""
-    ensure_utc(spark)
+    prepare(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     return as_packet_events(reader.option("maxBytesPerTrigger", 256 * 1024 * 1024).parquet(sf_dir))
