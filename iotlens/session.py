@@ -6,7 +6,9 @@ generated methods are pinned (see :func:`prepare`).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,17 +48,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is
-    made and recorded in the session.
+    Only where the session names none (tests on one machine) one temporary folder is made per
+    application; it goes when the process ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="iotlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        made = _OWN_DIRS[app] = tempfile.mkdtemp(prefix="iotlens-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _OWN_DIRS[app]
