@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. *Voters.*  Words and word beginnings that mark toxic texts are counted over a bounded sample of labelled
-   rows; a greedy cover picks the lexicon voters.  Pattern voters (shouting, symbols, repetition) join them.
+1. *Voters.*  Words, and word beginnings met once, twice or three times, that mark toxic texts are counted over a bounded
+   sample of labelled rows; a greedy cover picks the lexicon voters.  Pattern voters (shouting, symbols, repetition) join them.
 2. *Label model.*  A generative two-class model explains the votes.  EM estimates each voter's rate of
    voting in either class and the class posterior of each row; the given label is one more, noisy voter.
    Voters that still agree given the class share their evidence, in proportion to that correlation.
@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 from iotlens.llm.common import sample_by_count, stored
 
 _WORDS = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6)
+TIMES = (1, 2, 3)
 PATTERNS = ("shouting", "exclaims", "symbols", "repeats")
 
 
 @dataclass
 class Model:
     words: dict[str, int] = field(default_factory=dict)
-    beginnings: dict[str, int] = field(default_factory=dict)
+    beginnings: dict[tuple[str, int], int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS)))
     bias: float = -30.0
     accuracies: list[tuple[str, float, float]] = field(default_factory=list)
@@ -45,12 +46,12 @@ class Model:
         """Numbers of the voters that vote for toxic; pattern voters come first."""
         if not text:
             return []
-        words = set(_WORDS.findall(text.lower()))
-        found = set(patterns(text)) | {self.words[w] for w in self.words.keys() & words}
-        own = self.beginnings
-        for n in {len(b) for b in own}:
-            found |= {own[b] for b in {w[:n] for w in words if len(w) > n} & own.keys()}
-        return sorted(found)
+        words = Counter(_WORDS.findall(text.lower()))
+        found = set(patterns(text)) | {self.words[w] for w in self.words.keys() & words.keys()}
+        shortest = min(BEGINNINGS)
+        starts = {b[:shortest] for b, _ in self.beginnings}
+        near = Counter({w: c for w, c in words.items() if w[:shortest] in starts})
+        return sorted(found | {self.beginnings[e] for e in beginnings(near) if e in self.beginnings})
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[self.votes(text)].sum()))))
@@ -69,10 +70,20 @@ def patterns(text: str) -> list[int]:
     )) if yes]
 
 
+def beginnings(words: Counter) -> list[tuple[str, int]]:
+    """Beginnings of the words, with how often at least words begin so."""
+    counts = Counter()
+    for n in BEGINNINGS:
+        for w, c in words.items():
+            if len(w) >= n:
+                counts[w[:n]] += c
+    return [(b, k) for b, c in counts.items() for k in TIMES if k <= c]
+
+
 def entries(text: str | None) -> set[str]:
-    """Words of a text, and beginnings of its longer words marked by a trailing ``*``."""
-    words = set(_WORDS.findall(text.lower())) if text else set()
-    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
+    """Words of a text; beginnings are written ``begin*1``, the number being how often at least."""
+    words = Counter(_WORDS.findall(text.lower())) if text else Counter()
+    return {*words, *(f"{b}*{k}" for b, k in beginnings(words))}
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,21 +105,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _cover(present: np.ndarray, label: np.ndarray, limit: int, least: int) -> list[int]:
-    """Greedy choice of entries that reach toxic rows no earlier choice reaches."""
+def _cover(present: np.ndarray, label: np.ndarray, limit: int, least: int, cost: float = 4.0) -> list[int]:
+    """Greedy choice of entries that reach toxic rows no earlier choice reaches; a clean row counts against them ``cost`` times."""
     open_rows, chosen = np.ones(len(label), bool), []
-    odds = (label.sum() + 1) / ((~label).sum() + 1)
     while len(chosen) < limit:
         new = present[open_rows & label].sum(0)
         wrong = present[~label].sum(0)
-        gain = np.where(present[label].sum(0) >= least, new - 4 * odds * wrong, -1)
+        gain = np.where(present[label].sum(0) >= least, new - cost * wrong, -1)
         best = int(np.argmax(gain))
         if gain[best] < 1:
             break
         chosen.append(best)
         open_rows &= ~present[:, best]
-    strong = np.argsort(-(present[label].sum(0) - 4 * odds * present[~label].sum(0)), kind="stable")
-    return list(dict.fromkeys(chosen + [int(k) for k in strong]))[:limit]
+    worth = present[label].sum(0) - cost * present[~label].sum(0)
+    for k in map(int, np.argsort(-worth, kind="stable")):
+        if len(chosen) >= limit or worth[k] <= 0:
+            break
+        # A beginning that votes as a chosen entry does adds nothing.
+        both = present[:, chosen].T @ present[:, k].astype(float) if chosen else np.zeros(0)
+        if not (both > 0.8 * present[:, [*chosen, k]].sum(0)[:-1]).any() or not chosen:
+            chosen.append(k)
+    return chosen
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +156,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple
     return post, rate, corr, share
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.03, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft labels by Newton steps."""
     a = np.column_stack([x, np.ones(len(x))]).astype(float)
     w = np.zeros(a.shape[1])
@@ -155,7 +172,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 10_000, candidates: int = 400, voters: int = 60,
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 10_000, candidates: int = 600, voters: int = 100,
         doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Learns from ``labels`` (``doc_id``, ``toxic`` 0/1; other values count as unlabelled) joined to their texts."""
     lab = labels.select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic")).filter(F.col("_toxic").isin(0, 1))
@@ -198,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 10_000, candid
     weights, bias = logistic(votes, post)
     model = Model(weights=weights, bias=bias, correlations=corr)
     for k, c in enumerate(chosen, start=len(PATTERNS)):
-        if names[c].endswith("*"):
-            model.beginnings[names[c][:-1]] = k
+        if "*" in names[c]:
+            begin, _, times = names[c].partition("*")
+            model.beginnings[begin, int(times)] = k
         else:
             model.words[names[c]] = k
     named = [*PATTERNS, *(names[c] for c in chosen), "label"]
