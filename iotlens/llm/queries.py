@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotlens.llm import bpe, mixing, quality, toxicity
+from iotlens.llm import bpe, jaccard, mixing, quality, toxicity
 from iotlens.llm.common import id_share, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.digest(path, F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op5_bpe": op5_bpe,
+    "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }
