@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotlens.llm import bpe, jaccard, mixing, quality, toxicity
+from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, topk, toxicity, urls
 from iotlens.llm.common import id_share, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOXIC_FROM = 0.7
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(id_share("doc_id", 4) != 2))
+    held_out = (id_share("doc_id", 4) == 2).alias("held_out")
+    return docs.select("doc_id", held_out, language.predict(docs, model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(id_share("doc_id", 3) != 1)
@@ -24,12 +31,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.json")
     return docs.select("doc_id", bpe.digest(path, F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = extract.extract(extract.fit(pages), F.col("html"))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -49,11 +72,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
+    "op3_urls": op3_urls,
+    "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
+    "op6_extract": op6_extract,
     "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }
 
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_urls": urls.SQL, "op4_topk": topk.SQL, "op8_mixing": mixing.SQL}
