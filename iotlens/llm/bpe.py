@@ -30,29 +30,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The pre-token pattern of byte-level BPE, with white space spelled out.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NARROW = 0x250
 
 
 def _pre(engine: ModuleType, letters: str, numbers: str) -> Pattern:
     return engine.compile(
-        rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[{numbers}]+| ?[^{_SPACE}{letters}{numbers}]+"
-        rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+        rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+"
+        rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
     )
 
 
-def _narrow(kind: str) -> str:
+def narrow(kind: str) -> str:
     return "".join(f"\\u{c:04x}" for c in range(_NARROW) if unicodedata.category(chr(c)).startswith(kind))
 
 
 # The same pattern twice: texts of Latin letters only take the standard library, which is faster.
 _ANY = _pre(regex, r"\p{L}", r"\p{N}")
-_LATIN = _pre(re, _narrow("L"), _narrow("N"))
-_WIDE = re.compile(f"[^\\x00-\\u{_NARROW - 1:04x}]")
+_LATIN = _pre(re, narrow("L"), narrow("N"))
+WIDE = re.compile(f"[^\\x00-\\u{_NARROW - 1:04x}]")
 
 
 def _pre_tokens(text: str) -> list[str]:
-    return (_ANY if _WIDE.search(text) else _LATIN).findall(text)
+    return (_ANY if WIDE.search(text) else _LATIN).findall(text)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,19 +62,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class _Slots(dict):
+class Slots(dict):
     """Number of each word, in order of first sight; ``new`` lists the words not yet encoded."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
+        n = self[word] = self.used
+        self.used += 1
         self.new.append(word)
         return n
 
 
-class _Store:
+class Store:
     """Growing flat array of the items of numbered entries."""
 
     def __init__(self) -> None:
@@ -137,8 +139,8 @@ class ByteBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots = _Slots()
-        self.store = _Store()
+        self.slots = Slots()
+        self.store = Store()
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where it has none."""

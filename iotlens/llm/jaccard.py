@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotlens.llm.bpe import slices
-from iotlens.llm.common import WORD, factorize, stored, window_hashes, word_hashes
+from iotlens.llm.common import WORD, factorize, small, stored, window_hashes, word_hashes
 
 WIDTH = 5
 BINS = 1 << 18
@@ -339,8 +339,8 @@ def groups(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("group"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, class, component_id``; threshold ``num/den``."""
+def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+    """One row per row of ``docs``: ``_id, _hash, class, size, group``; threshold ``num/den``."""
     base = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     id_type = base.schema["_id"].dataType.simpleString()
     first = stored(base.mapInArrow(_summaries, f"_id {id_type}, _hash long, class binary, size long, chunk int, counts binary"), "jaccard-classes")
@@ -370,9 +370,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int =
     if not rest.isEmpty():
         edges = edges.unionByName(stored(links(base, by_class, rest, num, den), "jaccard-links"))
         named = groups(edges)
-    labelled = classes.join(named, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    names = labelled.filter(F.col("size") > 0).groupBy("group").agg(F.min("_id").alias("component_id"))
-    result = labelled.join(names, "group", "left")
-    return result.select(
+    return classes.join(named, "class", "left").withColumn("group", F.coalesce("group", "class"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, class_id, component_id``."""
+    rows = labelled(docs, doc_id, text, num, den)
+    names = rows.filter(F.col("size") > 0).groupBy("group").agg(F.min("_id").alias("component_id"))
+    return rows.join(names, "group", "left").select(
         F.col("_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"),
         F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id; rows without words all stay."""
+    rows = stored(labelled(docs, doc_id, text, num, den), "jaccard-labelled")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("r")
+    chosen = rows.filter(F.col("size") > 0).groupBy("group").agg(first).select("r._id", "r._hash").unionByName(
+        rows.filter(F.col("size") == 0).select("_id", "_hash").distinct())
+    chosen = small(chosen.select(F.col("_id").alias("_kept"), F.col("_hash").alias("_kept_hash")), "jaccard-kept")
+    hashed = docs.withColumn("_row_hash", F.xxhash64(docs[text]))
+    out = hashed.join(chosen, (F.col("_row_hash") == F.col("_kept_hash")) & docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+    again = rows.filter(F.col("size") > 0).groupBy("_id", "_hash").count().filter("count > 1")
+    if not again.isEmpty():  # whole rows that repeat: the join keeps them all
+        filled = out.filter(F.col("_row_hash") != F.xxhash64(F.lit(""))).dropDuplicates([doc_id, "_row_hash"])
+        out = filled.unionByName(out.filter(F.col("_row_hash") == F.xxhash64(F.lit(""))))
+    return out.drop("_row_hash")

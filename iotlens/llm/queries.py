@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, topk, toxicity, urls
+from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, tokenfile, topk, toxicity, urls
 from iotlens.llm.common import id_share, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.base_failed(s).alias("base_failed"), quality.kept(s, chosen).alias("kept"))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokenfile.digests(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_tokens": op10_tokens,
 }
 
 SQL: dict[str, str] = {"op3_urls": urls.SQL, "op4_topk": topk.SQL, "op8_mixing": mixing.SQL}
