@@ -108,7 +108,7 @@ def gather(items: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
 class ByteBpe:
     """One tokenizer file, ready to encode and decode batches of texts."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_words: int = 300_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -262,7 +262,7 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def slices(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str | None]]:
+def slices(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str | None]]:
     """A batch in pieces of at least one text and about ``chars`` characters."""
     part: list[str | None] = []
     size = 0

@@ -76,9 +76,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+def hashed_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (``WORD_PATTERN``) of all texts in order, and the number of words of each.
+
+    On UTF-8 bytes, ``split`` cuts at exactly these six characters and ``lower`` changes A-Z only.
+    """
+    raw = (t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+    lists = [(r.lower() if lower else r).split() for r in raw]
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lists)), np.uint64, int(lens.sum())), lens
 
 
 def window_hashes(hashed: np.ndarray, width: int) -> np.ndarray:

@@ -10,10 +10,11 @@ A document is the set of 64-bit hashes of its distinct shingles of five words.
 3. *Block skipping.*  Within a list, posts are grouped by the preceding shingle: pairs that also share that one already met
    in its list, so the whole block is skipped.  Of the rest, pairs whose positions and sizes leave no room for the
    threshold are skipped.
-4. *Answers from a similar set.*  In long lists each remaining set is first compared with one pivot only.  What a pivot
-   links is one group already: its members take over the pivot's answer, and a later round compares only members of
-   different groups that are still possible.  Lists of up to ``SHORT`` sets are compared whole.
-5. *Verification.*  Whole texts of candidates meet at their pivot (split by degree) and are compared exactly.
+4. *Answers from a similar set.*  In lists of more than ``SHORT`` sets each remaining set is first compared with one pivot only.
+   What a pivot links is one group already: its members take over the pivot's answer, and a later round compares only members
+   of different groups that are still possible.  Shorter lists are compared whole.
+5. *Verification.*  Parity sketches (a quarter byte per shingle) bound how much two sets share and rule most false candidates out.
+   The whole texts of the rest meet at their pivot (split by degree) and are compared exactly.
 
 Links of both rounds give the groups by alternating star contraction.  No link between different texts is
 lost, though not every link inside a group is listed.  Documents without words are linked with nothing, not even each other.
@@ -22,7 +23,6 @@ Repeated rows and equal texts share a class; null ids sort last in a group's nam
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotlens.llm.bpe import slices
-from iotlens.llm.common import WORD, factorize, small, stored, window_hashes, word_hashes
+from iotlens.llm.common import hashed_words, small, stored, window_hashes
 
 WIDTH = 5
 BINS = 1 << 18
 CHUNK = 1 << 14
-SHORT = 4
+SHORT = 64
+TEXTS_PER_TASK = 1000
 POSTS_PER_PART = 1_000_000
 
-_LOWER = re.compile("[A-Z]+")
 CLASS = np.dtype([("name", ">u8", 2), ("size", "<u4")])
 POST = np.dtype([("key", "<u8"), ("prev", "<u8"), ("set", "<u4"), ("pos", "<u2")])
 
@@ -54,9 +54,7 @@ def need(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; texts of one to four words are one shingle."""
-    lists = [WORD.findall(_LOWER.sub(lambda m: m[0].lower(), t)) if t else [] for t in texts]
-    flat, words, lens = factorize(lists)
-    hashed = word_hashes(words)[flat] if len(flat) else np.empty(0, np.uint64)
+    hashed, lens = hashed_words(texts, lower=True)
     windows = window_hashes(hashed, WIDTH)
     out, start = [], 0
     for n in lens.tolist():
@@ -79,20 +77,38 @@ def bins(s: np.ndarray) -> np.ndarray:
     return (s >> BIN_SHIFT).astype(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set: a differing element flips one bit, so two sketches differ in at most as many bits as the sets in elements."""
+    bits = 64
+    while bits < 2 * len(s) and bits < 1 << 20:
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Least number of elements in which the sets of two sketches differ; the longer sketch is folded."""
+    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = y[:half] ^ y[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its class and set size; then the task's counting table in chunks."""
     table = np.zeros(BINS, np.int64)
     seen: set[bytes] = set()
     id_type = None
 
-    def rows(ids, hashes, names, sizes, chunk, counts) -> pa.RecordBatch:
+    def rows(ids, hashes, names, sizes, sketches, chunk, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [ids, hashes, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
-            ["_id", "_hash", "class", "size", "chunk", "counts"])
+            [ids, hashes, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
+            ["_id", "_hash", "class", "size", "sketch", "chunk", "counts"])
 
     for b in batches:
         id_type = b.column(0).type
-        names, sizes = [], []
+        names, sizes, sketches = [], [], []
         for part in slices(b.column(2).to_pylist()):
             sets = shingle_sets(part)
             own = list(map(class_name, sets))
@@ -104,12 +120,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             names += own
             sizes += map(len, sets)
-        yield rows(b.column(0), b.column(1), names, sizes, [None] * len(names), [None] * len(names))
+            sketches += [sketch(s) if len(s) else None for s in sets]
+        yield rows(b.column(0), b.column(1), names, sizes, sketches, [None] * len(names), [None] * len(names))
     if id_type is not None:
         for k in range(0, BINS, CHUNK):
             part = table[k : k + CHUNK]
             if part.any():
-                yield rows(pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [None], [None], [k // CHUNK], [part.astype("<i8").tobytes()])
+                yield rows(pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [None], [None], [None], [k // CHUNK], [part.astype("<i8").tobytes()])
 
 
 def _add_tables(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,12 +238,14 @@ def _candidates(num: int, den: int):
         pairs: list[np.ndarray] = []
         later: list[np.ndarray] = []
         lens = np.diff(borders)
-        for n in range(2, SHORT + 1):  # all lists of one length at once
-            starts = borders[:-1][lens == n]
-            for x in range(n):
-                for y in range(x + 1, n):
-                    ok = _possible(starts + x, starts + y, p, sizes, num, den)
-                    pairs.append(np.column_stack([p["set"][starts[ok] + x], p["set"][starts[ok] + y]]))
+        ends = np.repeat(borders[1:], lens)
+        open_posts = np.flatnonzero(np.repeat(lens <= SHORT, lens))
+        for shift in range(1, SHORT):  # every pair of the short lists, all lists at once
+            open_posts = open_posts[open_posts + shift < ends[open_posts]]
+            if not len(open_posts):
+                break
+            ok = open_posts[_possible(open_posts, open_posts + shift, p, sizes, num, den)]
+            pairs.append(np.column_stack([p["set"][ok], p["set"][ok + shift]]))
         for start, n in zip(borders[:-1][lens > SHORT].tolist(), lens[lens > SHORT].tolist()):
             own = np.arange(start, start + n)
             prev, pos = p["prev"][own], p["pos"][own]
@@ -267,54 +286,80 @@ CANDIDATE = "a binary, b binary, list long, size long, pos long, prev long"
 def _across(num: int, den: int):
     """Pairs of one list whose sets are in different groups and still possible."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "a"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list", "size", "a"], ignore_index=True)
         p = np.zeros(len(pdf), POST)
         p["prev"], p["pos"], p["set"] = pdf["prev"].to_numpy("<i8").view("<u8"), pdf["pos"], np.arange(len(pdf))
         sizes = pdf["size"].to_numpy(np.int64)
         groups = pd.factorize(pdf["group"])[0]
         names = pdf["a"].to_numpy()
-        out = []
-        for i in range(len(p) - 1):
-            stop = np.searchsorted(sizes, sizes[i] * den // num, side="right")
-            j = np.arange(i + 1, max(stop, i + 1))
-            j = j[groups[j] != groups[i]]
-            j = j[_possible(np.full(len(j), i), j, p, sizes, num, den)]
-            out += [(names[i], names[x]) for x in j]
-        return pd.DataFrame(out, columns=["a", "b"])
+        keys = pdf["list"].to_numpy()
+        borders = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        out: set[tuple[bytes, bytes]] = set()
+        for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            for i in range(start, end - 1):
+                j = np.arange(i + 1, start + np.searchsorted(sizes[start:end], sizes[i] * den // num, side="right"))
+                j = j[groups[j] != groups[i]]
+                j = j[_possible(np.full(len(j), i), j, p, sizes, num, den)]
+                out.update((names[i], names[x]) for x in j)
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Members of a pivot's group of texts that reach the threshold with it."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [s for part in slices(pdf["text"]) for s in shingle_sets(part)]
-        pivots = [k for k, x in enumerate(pdf["is_pivot"]) if x]
+    """Pairs of a pivot and a member that reach the threshold, among the texts of a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[bytes, np.ndarray] = {}
+        texts = pdf.drop_duplicates(["class", "text"])
+        names = iter(texts["class"])
+        for part in slices(texts["text"]):
+            for s in shingle_sets(part):
+                name = next(names)
+                if class_name(s) == name:  # an id may have other texts too
+                    sets[name] = s
         linked = []
-        if pivots:
-            base = sets[pivots[0]]
-            for s, name, own in zip(sets, pdf["class"], pdf["is_pivot"]):
-                if not own:
-                    both = len(np.intersect1d(base, s, assume_unique=True))
-                    if den * both >= num * (len(base) + len(s) - both):
-                        linked.append((key[0], name))
+        for a, b in pdf.loc[~pdf["is_pivot"], ["a", "class"]].drop_duplicates().itertuples(index=False):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if den * both >= num * (len(x) + len(y) - both):
+                linked.append((a, b))
         return pd.DataFrame(linked, columns=["a", "b"])
 
     return run
 
 
+def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sketches leave the threshold possible."""
+    a = classes.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+
+    @F.pandas_udf("boolean")
+    def possible(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
+        total = (na + nb).to_numpy()
+        most = total - 2 * need(na.to_numpy(), nb.to_numpy(), num, den)
+        return pd.Series([differ(x, y) for x, y in zip(sa, sb)], dtype="int64").to_numpy() <= pd.Series(most)
+
+    return pairs.join(a, "a").join(b, "b").filter(possible("na", "sa", "nb", "sb")).select("a", "b")
+
+
 def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int, per_task: int = 256) -> DataFrame:
-    """The pairs of classes that reach the threshold; the two texts of a pair meet in a task of at most about ``per_task`` texts."""
+    """The pairs of classes that reach the threshold.
+
+    A pivot meets at most about ``per_task`` members at a time, and a task gets about ``TEXTS_PER_TASK`` texts.
+    """
     salt = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("degree") / per_task), F.lit(1))).cast("int")
-    degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    dealt = stored(pairs.join(degrees, "a").withColumn("salt", salt).select("a", "b", "salt"), "jaccard-pairs")
+    possible = stored(near(pairs, classes, num, den), "jaccard-near")
+    degrees = possible.groupBy("a").agg(F.count("*").alias("degree"))
+    dealt = stored(possible.join(degrees, "a").withColumn("salt", salt).select("a", "b", "salt"), "jaccard-pairs")
     roles = dealt.select(F.col("b").alias("class"), "a", "salt", F.lit(False).alias("is_pivot")).unionByName(
         dealt.select(F.col("a").alias("class"), "a", "salt", F.lit(True).alias("is_pivot")).distinct())
-    needed = roles.join(classes, "class").withColumnRenamed("_id", "_at").withColumnRenamed("_hash", "_text_hash")
+    tasks = max(1, ceil(2 * dealt.count() / TEXTS_PER_TASK))
+    roles = roles.withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(tasks)))
+    needed = roles.join(classes.select("class", F.col("_id").alias("_at"), F.col("_hash").alias("_text_hash")), "class")
     texts = docs.join(needed, (docs["_hash"] == needed["_text_hash"]) & docs["_id"].eqNullSafe(needed["_at"]))
-    return texts.select("a", "salt", "class", "is_pivot", F.col("_text").alias("text")).groupBy("a", "salt").applyInPandas(
+    return texts.select("task", "a", "class", "is_pivot", F.col("_text").alias("text")).groupBy("task").applyInPandas(
         _verify(num, den), "a binary, b binary")
 
 
@@ -343,8 +388,8 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     """One row per row of ``docs``: ``_id, _hash, class, size, group``; threshold ``num/den``."""
     base = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     id_type = base.schema["_id"].dataType.simpleString()
-    first = stored(base.mapInArrow(_summaries, f"_id {id_type}, _hash long, class binary, size long, chunk int, counts binary"), "jaccard-classes")
-    classes = first.filter(F.col("chunk").isNull()).select("_id", "_hash", "class", "size")
+    first = stored(base.mapInArrow(_summaries, f"_id {id_type}, _hash long, class binary, size long, sketch binary, chunk int, counts binary"), "jaccard-classes")
+    classes = first.filter(F.col("chunk").isNull()).select("_id", "_hash", "class", "size", "sketch")
     linkable = classes.filter(F.col("size") > 0)
     tables = first.filter(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInPandas(_add_tables, "chunk int, counts binary").collect()
     counts = np.zeros(BINS, np.int64)
@@ -357,7 +402,7 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     packed = base.select("_text").mapInArrow(_posts(levels, parts, num, den), "part int, sets binary, posts binary")
     found = stored(packed.groupBy("part").applyInPandas(_candidates(num, den), CANDIDATE), "jaccard-candidates")
     # One row of each class stands for it: found by id and hash of the text, as ids may repeat or be null.
-    by_class = linkable.groupBy("class").agg(F.min(F.struct("_id", "_hash")).alias("_at")).select("class", "_at.*")
+    by_class = linkable.groupBy("class").agg(F.min(F.struct("_id", "_hash", "size", "sketch")).alias("_at")).select("class", "_at.*")
     pairs = found.filter(F.col("b").isNotNull()).select("a", "b").distinct()
     edges = stored(links(base, by_class, pairs, num, den), "jaccard-links")
     named = groups(edges)
@@ -365,7 +410,9 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     open_lists = lists.join(named, lists["a"] == named["class"], "left").select(
         lists["*"], F.coalesce("group", "a").alias("group"))
     split = open_lists.groupBy("list").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1").select("list")
-    rest = open_lists.join(split, "list", "left_semi").groupBy("list").applyInPandas(_across(num, den), "a binary, b binary")
+    tasks = max(1, ceil(lists.count() / POSTS_PER_PART))
+    bucket = F.pmod(F.xxhash64("list"), F.lit(8 * tasks))
+    rest = open_lists.join(split, "list", "left_semi").groupBy(bucket.alias("bucket")).applyInPandas(_across(num, den), "a binary, b binary")
     rest = stored(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         edges = edges.unionByName(stored(links(base, by_class, rest, num, den), "jaccard-links"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from iotlens.llm.bpe import slices
-from iotlens.llm.common import WORD, factorize, mix, stored, window_hashes, word_hashes
+from iotlens.llm.common import hashed_words, mix, stored, window_hashes
 
 WINDOW = 5
 STATS = T.StructType([T.StructField(n, T.LongType()) for n in (
@@ -69,8 +69,8 @@ def dup_lines(text: str) -> tuple[int, int]:
 
 def text_stats(texts: list[str | None]) -> pd.DataFrame:
     known = [t or "" for t in texts]
-    flat, words, lens = factorize([WORD.findall(t) for t in known])
-    repeats = repeated_words(word_hashes(words)[flat] if len(flat) else np.empty(0, np.uint64), lens)
+    hashed, lens = hashed_words(known, lower=False)
+    repeats = repeated_words(hashed, lens)
     rows = []
     for t, n, rep in zip(known, lens.tolist(), repeats.tolist()):
         raw = t.encode("utf-8", "replace")

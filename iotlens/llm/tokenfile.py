@@ -51,7 +51,7 @@ class Tokens:
     encoded in few calls, joined by spaces.  Texts with other letters or special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,7 +78,7 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and how many each text has."""
-        if len(self.slots) > self.max_pieces or self.store.used > 20 * self.max_pieces:
+        if len(self.slots) > self.max_pieces or self.store.used > 40 * self.max_pieces:
             self.slots, self.store = Slots(), Store()
         whole = np.fromiter((bool(t) and ("<|" in t or WIDE.search(t) is not None) for t in texts), bool, len(texts))
         lists = [_PRE.findall(t.lower()) if t and not w else [] for t, w in zip(texts, whole)]
