@@ -39,7 +39,7 @@ from iotlens.llm.common import hashed_words, small, stored, window_hashes
 WIDTH = 5
 BINS = 1 << 18
 CHUNK = 1 << 14
-SHORT = 64
+SHORT = 16
 TEXTS_PER_TASK = 1000
 POSTS_PER_PART = 1_000_000
 
@@ -308,7 +308,7 @@ def _across(num: int, den: int):
 
 
 def _verify(num: int, den: int):
-    """Pairs of a pivot and a member that reach the threshold, among the texts of a task."""
+    """Pairs of a pivot and a member that reach the threshold, among the texts of a task: enough of them to connect all that are linked there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets: dict[bytes, np.ndarray] = {}
@@ -320,11 +320,22 @@ def _verify(num: int, den: int):
                 if class_name(s) == name:  # an id may have other texts too
                     sets[name] = s
         linked = []
+        parent: dict[bytes, bytes] = {}
+
+        def root(k: bytes) -> bytes:
+            while (up := parent.get(k, k)) != k:
+                parent[k] = parent.get(up, up)
+                k = up
+            return k
+
         for a, b in pdf.loc[~pdf["is_pivot"], ["a", "class"]].drop_duplicates().itertuples(index=False):
+            if root(a) == root(b):
+                continue  # follows from links already found here
             x, y = sets[a], sets[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if den * both >= num * (len(x) + len(y) - both):
                 linked.append((a, b))
+                parent[root(b)] = root(a)
         return pd.DataFrame(linked, columns=["a", "b"])
 
     return run
