@@ -11,12 +11,12 @@ A document is the set of 64-bit hashes of its distinct shingles of five words.
    in its list, so the whole block is skipped.  Of the rest, pairs whose positions and sizes leave no room for the
    threshold are skipped.
 4. *Answers from a similar set.*  In lists of more than ``SHORT`` sets each remaining set is first compared with one pivot only.
-   What a pivot links is one group already: its members take over the pivot's answer, and a later round compares only members
-   of different groups that are still possible.  Shorter lists are compared whole.
+   What a pivot links is one group already: its members take over the pivot's answer.  Two later rounds compare members of
+   different groups: first each one's ``NEAREST`` by sketch, then all that are still possible.  Shorter lists are compared whole.
 5. *Verification.*  Parity sketches (a quarter byte per shingle) bound how much two sets share and rule most false candidates out.
    The whole texts of the rest meet at their pivot (split by degree) and are compared exactly.
 
-Links of both rounds give the groups by alternating star contraction.  No link between different texts is
+Links of all rounds give the groups by alternating star contraction.  No link between different texts is
 lost, though not every link inside a group is listed.  Documents without words are linked with nothing, not even each other.
 Repeated rows and equal texts share a class; null ids sort last in a group's name.  An empty table gives no rows.
 """
@@ -40,6 +40,7 @@ WIDTH = 5
 BINS = 1 << 18
 CHUNK = 1 << 14
 SHORT = 16
+NEAREST = 4
 TEXTS_PER_TASK = 1000
 POSTS_PER_PART = 1_000_000
 
@@ -283,8 +284,17 @@ def _candidates(num: int, den: int):
 CANDIDATE = "a binary, b binary, list long, size long, pos long, prev long"
 
 
-def _across(num: int, den: int):
-    """Pairs of one list whose sets are in different groups and still possible."""
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest."""
+    least = min(map(len, sketches))
+    rows = np.zeros((len(sketches), least // 8), np.uint64)
+    for k, raw in enumerate(sketches):
+        rows[k] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, least // 8), axis=0)
+    return rows
+
+
+def _across(num: int, den: int, nearest: int | None):
+    """Pairs of one list whose sets are in different groups and still possible; each set's ``nearest`` by sketch, or all."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["list", "size", "a"], ignore_index=True)
@@ -297,10 +307,14 @@ def _across(num: int, den: int):
         borders = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         out: set[tuple[bytes, bytes]] = set()
         for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            bits = folded(pdf["sketch"].iloc[start:end].tolist())
             for i in range(start, end - 1):
                 j = np.arange(i + 1, start + np.searchsorted(sizes[start:end], sizes[i] * den // num, side="right"))
                 j = j[groups[j] != groups[i]]
                 j = j[_possible(np.full(len(j), i), j, p, sizes, num, den)]
+                apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1).astype(np.int64)
+                fits = apart <= sizes[i] + sizes[j] - 2 * need(sizes[i], sizes[j], num, den)
+                j = j[fits][np.argsort(apart[fits], kind="stable")[:nearest]]
                 out.update((names[i], names[x]) for x in j)
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
@@ -418,16 +432,19 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     edges = stored(links(base, by_class, pairs, num, den), "jaccard-links")
     named = groups(edges)
     lists = found.filter(F.col("b").isNull())
-    open_lists = lists.join(named, lists["a"] == named["class"], "left").select(
-        lists["*"], F.coalesce("group", "a").alias("group"))
-    split = open_lists.groupBy("list").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1").select("list")
-    tasks = max(1, ceil(lists.count() / POSTS_PER_PART))
-    bucket = F.pmod(F.xxhash64("list"), F.lit(8 * tasks))
-    rest = open_lists.join(split, "list", "left_semi").groupBy(bucket.alias("bucket")).applyInPandas(_across(num, den), "a binary, b binary")
-    rest = stored(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        edges = edges.unionByName(stored(links(base, by_class, rest, num, den), "jaccard-links"))
-        named = groups(edges)
+    tasks = 8 * max(1, ceil(lists.count() / POSTS_PER_PART))
+    tested = pairs
+    # First each set's nearest in other groups, which joins most groups; then whatever is still possible between different groups.
+    for nearest in (NEAREST, None):
+        placed = lists.join(named, lists["a"] == named["class"], "left").select(lists["*"], F.coalesce("group", "a").alias("group"))
+        split = placed.groupBy("list").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1").select("list")
+        open_posts = placed.join(split, "list", "left_semi").join(by_class.select(F.col("class").alias("a"), "sketch"), "a")
+        rest = open_posts.groupBy(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("bucket")).applyInPandas(_across(num, den, nearest), "a binary, b binary")
+        rest = stored(rest.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
+        if not rest.isEmpty():
+            edges = edges.unionByName(stored(links(base, by_class, rest, num, den), "jaccard-links"))
+            named = groups(edges)
+            tested = tested.unionByName(rest)
     return classes.join(named, "class", "left").withColumn("group", F.coalesce("group", "class"))
 
 
