@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from iotlens.llm.bpe import SPACE, WIDE, Slots, Store, gather, narrow, slices
-from iotlens.llm.common import crc, scratch, stored
+from iotlens.llm.common import crc, scratch, small, stored
 
 LANES = 2048
 BLOCK = 1 << 19
@@ -267,7 +267,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     # One row per task of the first pass: ids before it.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = packed.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = packed.join(bases, "part")
+    placed = packed.join(small(bases, "token-bases"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder.value
