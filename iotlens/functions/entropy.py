@@ -17,6 +17,7 @@ from iotlens.functions.numeric import _c, clamp01
 from iotlens.settings import ENTROPY_CAP
 
 _ROWS_PER_TABLE = 4096
+_BYTES_PER_TABLE = 1 << 18
 
 
 def _binary_views(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,16 +38,23 @@ def batch_entropy(col: pa.Array) -> np.ndarray:
     """Entropy in bits of each binary value of an Arrow array; nulls and empties are 0."""
     starts, flat = _binary_views(col)
     out = np.zeros(len(starts) - 1)
-    for lo in range(0, len(out), _ROWS_PER_TABLE):
-        hi = min(lo + _ROWS_PER_TABLE, len(out))
+    lo = 0
+    while lo < len(out):
+        # A table covers few enough rows and bytes to stay at a few megabytes; a longer payload is counted in pieces.
+        hi = int(np.searchsorted(starts, starts[lo] + _BYTES_PER_TABLE, side="right")) - 1
+        hi = min(max(hi, lo + 1), lo + _ROWS_PER_TABLE, len(out))
         lengths = np.diff(starts[lo : hi + 1])
-        rows = np.repeat(np.arange(hi - lo, dtype=np.int64), lengths)
-        counts = np.bincount(rows * 256 + flat[starts[lo] : starts[hi]], minlength=(hi - lo) * 256)
+        counts = np.zeros((hi - lo) * 256, dtype=np.int64)
+        for at in range(int(starts[lo]), int(starts[hi]), _BYTES_PER_TABLE):
+            end = min(at + _BYTES_PER_TABLE, int(starts[hi]))
+            rows = np.searchsorted(starts[lo : hi + 1], np.arange(at, end, dtype=np.int32 if end < 1 << 31 else np.int64), side="right") - 1
+            counts += np.bincount(rows * 256 + flat[at:end], minlength=(hi - lo) * 256)
         counts = counts.reshape(hi - lo, 256).astype(np.float64)
         logs = np.log2(counts, out=np.zeros_like(counts), where=counts > 0)
         weighted = (counts * logs).sum(axis=1)
         full = lengths > 0
         out[lo:hi][full] = np.log2(lengths[full]) - weighted[full] / lengths[full]
+        lo = hi
     return np.maximum(out, 0.0)
 
 

@@ -89,11 +89,15 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as a file-backed stream."""
+    """The same rows as a file-backed stream, whether the table is one file or a folder of part files."""
     prepare(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return as_packet_events(reader.option("maxBytesPerTrigger", 256 * 1024 * 1024).parquet(sf_dir))
+    path = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", 256 * 1024 * 1024)
+    if len(files) == 1 and files[0].endswith("/events.parquet"):  # a stream reads folders: that of the file, and of it this file
+        return as_packet_events(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return as_packet_events(reader.parquet(path))
 
 
 def as_packet_events(table: DataFrame) -> DataFrame:

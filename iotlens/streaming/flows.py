@@ -167,9 +167,14 @@ class PendingRequests(StatefulProcessor):
 
 
 def response_stream(messages: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of ``operators.correlate.route_responses``."""
-    picked = messages.filter(F.col("mid").isNotNull()).select("mid", "event_id", "t_us", "direction", "source_id")
+    """Stream form of ``operators.correlate.route_responses``; responses without an id are unrouted."""
+    columns = messages.select("mid", "event_id", "t_us", "direction", "source_id")
     mode = "processingTime" if ttl_ms else "none"
-    return picked.groupBy("mid").transformWithStateInPandas(
+    matched = columns.filter(F.col("mid").isNotNull()).groupBy("mid").transformWithStateInPandas(
         PendingRequests(ttl_ms), ROUTED, outputMode="append", timeMode=mode
     )
+    given = {"mid", "event_id", "t_us"}
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ROUTED.fields if f.name not in given | {"routed"}]
+    loose = columns.filter(F.col("mid").isNull() & (F.col("direction") != "incoming"))
+    loose = loose.select("mid", "event_id", "t_us", F.lit(False).alias("routed"), *nothing)
+    return matched.unionByName(loose)
