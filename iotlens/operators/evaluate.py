@@ -183,7 +183,22 @@ def agreement(a: DataFrame, b: DataFrame, key: str = "event_id") -> DataFrame:
     )
 
 
-def validation_sample(rows: DataFrame, size: int, key: str = "event_id", seed: int = 42) -> DataFrame:
-    """Seeded sample of a fixed size without replacement: the rows with the smallest keyed digests."""
+def validation_sample(rows: DataFrame, least: int = 1000, share: int = 5, key: str = "event_id", seed: int = 42) -> DataFrame:
+    """Seeded sample without replacement of ``max(least, n // share)`` rows: those with the smallest keyed digests.
+
+    Rows are counted by digest prefix.  Prefixes below the one in which the sample ends are taken
+    whole, and only that one's rows are put in order, so no task sorts the sample.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return rows.withColumn("_digest", digest).orderBy("_digest", key).limit(size).drop("_digest")
+    marked = rows.withColumn("_digest", digest).withColumn("_prefix", F.substring("_digest", 1, 4))
+    # At most 65,536 prefixes, whatever the number of rows.
+    order = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(order))
+    size = F.greatest(F.lit(least), F.floor(F.sum("_n").over(Window.partitionBy()) / share))
+    open_prefixes = counted.withColumn("_left", size - (F.col("_upto") - F.col("_n"))).filter("_left > 0").select("_prefix", "_n", "_left")
+    reached = marked.join(open_prefixes, "_prefix")
+    whole = reached.filter(F.col("_n") <= F.col("_left"))
+    inside = Window.partitionBy("_prefix").orderBy("_digest", key)
+    partly = reached.filter(F.col("_n") > F.col("_left")).withColumn("_place", F.row_number().over(inside))
+    partly = partly.filter(F.col("_place") <= F.col("_left"))
+    return whole.select(*rows.columns).unionByName(partly.select(*rows.columns))

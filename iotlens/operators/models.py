@@ -116,11 +116,12 @@ def experiment(
     if unknown:
         raise ValueError(f"unknown models or feature sets: {sorted(unknown)}")
     foldable = evaluate.with_folds(rows, folds)
+    # One row per fold and protocol tells which splits have rows on both sides.
+    present = foldable.select("fold", "protocol").distinct().collect()
+    used_folds, protocols = {r["fold"] for r in present}, {r["protocol"] for r in present}
     parts: list[DataFrame] = []
 
     def add(train: DataFrame, test: DataFrame, fs: str, model: str, split: str, fold: int | None) -> None:
-        if train.isEmpty() or test.isEmpty():
-            return
         fitted = fit(train, model, FEATURE_SETS[fs], builders[model])
         tags = {"feature_set": fs, "model": model, "split": split}
         out = predict(fitted, test).withColumns({k: F.lit(v) for k, v in tags.items()})
@@ -130,9 +131,9 @@ def experiment(
         for model in models:
             for split in splits:
                 if split == "grouped_cv":
-                    for i in range(folds):
+                    for i in sorted(used_folds) if len(used_folds) > 1 else ():
                         add(foldable.filter(F.col("fold") != i), foldable.filter(F.col("fold") == i), fs, model, split, i)
-                else:
+                elif {"mqtt", "coap"} <= protocols:
                     train, test = evaluate.cross_split(rows, split)
                     add(train, test, fs, model, split, None)
     out = parts[0]

@@ -2,11 +2,11 @@
 
 1. rows are pre-aggregated to (group, value, count), so a value held by a third of all
    rows becomes one row before any shuffle of ranks;
-2. split points per group (64 at most) cut the values into ranges of similar size;
+2. split points per group (as many as shuffle partitions, 64 at least) cut the values into ranges of similar size;
 3. range totals give the number of rows below each range, and a running sum inside one
    (group, range) finishes the rank.  No task ever holds a whole group.
 
-The split points and range totals are tables of at most 64 rows per group; adaptive
+The split points and range totals are tables of that many rows per group at most; adaptive
 execution broadcasts them by their measured size and shuffles them otherwise.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+LEAST_RANGES = 64
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -40,7 +40,8 @@ def cumulative(counts: DataFrame, groups: Sequence[str], value: str, n: str = "n
     """
     keys = list(groups) or ["_all"]
     base = counts if groups else counts.withColumn("_all", F.lit(1))
-    cuts = [i / RANGES for i in range(1, RANGES)]
+    ranges_wanted = max(LEAST_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [i / ranges_wanted for i in range(1, ranges_wanted)]
     splits = base.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, 10_000).alias("_cuts"),
         F.sum(n).alias("total"),

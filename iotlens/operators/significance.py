@@ -19,15 +19,16 @@ FIELD = (1 << 31) - 1
 ROUNDS = [1, 1013904223, 362437069, 521288629, 88675123]
 
 
-def with_uniform(df: DataFrame, value_key: Column, draw_key: Column, name: str) -> DataFrame:
-    """Adds a uniform number in (0, 1) that depends only on the two integer keys.
+def with_uniform(df: DataFrame, value_key: Column, draw_key: Column, seed: int, name: str) -> DataFrame:
+    """Adds a uniform number in (0, 1) that depends only on the two integer keys and the seed.
 
-    Each round adds the draw key and a constant and takes the fifth power in the field, which
-    scrambles both keys with whole-number arithmetic inside generated code.
+    Each round adds a key and a constant and takes the fifth power in the field, which scrambles
+    the keys with whole-number arithmetic inside generated code.  Draw key and seed take turns, so
+    draws of one seed are not those of another seed shifted.
     """
     df = df.select("*", F.pmod(value_key, F.lit(FIELD)).cast("long").alias("_x"), draw_key.cast("long").alias("_k"))
-    for c in ROUNDS:
-        df = df.withColumn("_x", (F.col("_x") + F.col("_k") + c) % FIELD)
+    for turn, c in enumerate(ROUNDS):
+        df = df.withColumn("_x", (F.col("_x") + (F.lit(seed % FIELD) if turn % 2 else F.col("_k")) + c) % FIELD)
         df = df.withColumn("_x2", F.col("_x") * F.col("_x") % FIELD)
         df = df.withColumn("_x4", F.col("_x2") * F.col("_x2") % FIELD)
         df = df.withColumn("_x", F.col("_x4") * F.col("_x") % FIELD)
@@ -70,7 +71,7 @@ def resampled(counts: DataFrame, value: str, replicates: int, seed: int = 42) ->
     draws = counts.select("*", cdf.alias("_cdf"), F.floor(F.col(value) * 1e9 + 0.5).alias("_key")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     )
-    draws = with_uniform(draws, F.col("_key"), F.col("replicate") * 1000 + seed, "_u")
+    draws = with_uniform(draws, F.col("_key"), F.col("replicate"), seed, "_u")
     # Short steps: a generated method beyond the JIT compiler's size limit would run interpreted.
     u = F.col("_u")
     draws = draws.withColumn("_t", F.when(~small, _tail_root(u)))

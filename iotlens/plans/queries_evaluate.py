@@ -44,8 +44,8 @@ _Z = (
 
 def _mixed_sql() -> str:
     out = f"SELECT *, CAST(floor(v * 1e9 + 0.5) AS BIGINT) % {significance.FIELD} AS x FROM blocks"
-    for c in significance.ROUNDS:
-        out = f"SELECT * REPLACE ((x + replicate * 1000 + 42 + {c}) % {significance.FIELD} AS x) FROM ({out})"
+    for turn, c in enumerate(significance.ROUNDS):
+        out = f"SELECT * REPLACE ((x + {42 if turn % 2 else 'replicate'} + {c}) % {significance.FIELD} AS x) FROM ({out})"
         out = f"SELECT * REPLACE ((x * x % {significance.FIELD}) * (x * x % {significance.FIELD}) % {significance.FIELD} * x % {significance.FIELD} AS x) FROM ({out})"
     return f"SELECT protocol, v, n, cdf, replicate, (x + 0.5) / {significance.FIELD}.0::DOUBLE AS u FROM ({out})"
 
@@ -338,10 +338,10 @@ def agreement(spark, sf):
 
 @register(
     "validation_sample",
-    B.WITH_EV + "SELECT event_id, label FROM ev ORDER BY md5('42:' || event_id), event_id LIMIT 1000",
+    B.WITH_EV + "SELECT event_id, label FROM ev QUALIFY row_number() OVER (ORDER BY md5('42:' || event_id), event_id) <= greatest(1000, count(*) OVER () // 5)",
 )
 def validation_sample(spark, sf):
-    return evaluate.validation_sample(_events(spark, sf).select("event_id", "label"), 1000)
+    return evaluate.validation_sample(_events(spark, sf).select("event_id", "label"))
 
 
 _SE = "sqrt(f1_macro * (1.0 - f1_macro) / 11209.0)"

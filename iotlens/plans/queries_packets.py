@@ -80,17 +80,20 @@ def mqtt_named_sources(spark, sf):
 
 
 def _reads(spark, sf):
-    """Several frames per read: 1 + k % 3 whole frames, and a cut one where k % 4 is 0."""
-    m = capture(spark, sf, "k", "event_type").filter((F.col("protocol") == "mqtt") & (F.col("event_type") != "error"))
+    """Several frames per read: 1 + k % 3 whole frames, and a cut one where k % 4 is 0.
+
+    A faulty packet claims more bytes than its read holds, so it has no complete frame.
+    """
+    m = capture(spark, sf, "k", "event_type").filter(F.col("protocol") == "mqtt")
     hexed = F.hex("payload")
     cut = F.when(F.col("k") % 4 == 0, F.lit("30206162")).otherwise("")
-    many = F.concat(F.repeat(hexed, F.col("k") % 3 + 1), cut)
+    many = F.concat(F.repeat(hexed, F.when(F.col("event_type") == "error", 1).otherwise(F.col("k") % 3 + 1).cast("int")), cut)
     return m.select("event_id", F.unhex(many).alias("payload"))
 
 
 @register(
     "mqtt_frames",
-    B.WITH_EV + "SELECT event_id, 1 + k % 3 AS frames FROM ev WHERE protocol = 'mqtt' AND event_type <> 'error'",
+    B.WITH_EV + "SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 + k % 3 END AS INTEGER) AS frames FROM ev WHERE protocol = 'mqtt'",
 )
 def mqtt_frames(spark, sf):
     return decode.mqtt_frames(_reads(spark, sf)).select("event_id", "frames")

@@ -37,9 +37,10 @@ _LIMIT_KEY = "spark.sql.codegen.hugeMethodLimit"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session values the operators count on; a value the user chose is kept.
+    """Session values the operators count on.
 
-    Times are UTC micros, so times without a zone must be read as UTC.
+    Times are UTC micros, so times without a zone must be read as UTC: the session zone becomes
+    UTC whatever it was.  A method limit that the user chose is kept.
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")

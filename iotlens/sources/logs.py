@@ -117,15 +117,14 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def write_dataset(rows: DataFrame, path: str, *, append: bool = True, fmt: str = "parquet") -> None:
     """Parquet is partitioned by run, so runs are added, replaced and read one by one.
 
-    Rows are first clustered by (run, spread): a run with a third of all rows is written by
-    many tasks, and small runs do not leave one file per task.
+    Rows are first clustered by run and then rebalanced by measured size: a run with a third of
+    all rows is written by many tasks, and small runs do not leave one file per task.
     """
     mode = "append" if append else "overwrite"
     if fmt == "csv":
         rows.write.mode(mode).option("header", True).csv(path)
         return
-    spread = F.pmod(F.xxhash64("timestamp", "detail", "bytes"), F.lit(16))
-    rows.repartition(F.col("run_id"), spread).write.mode(mode).partitionBy("run_id").format(fmt).save(path)
+    rows.hint("rebalance", F.col("run_id")).write.mode(mode).partitionBy("run_id").format(fmt).save(path)
 
 
 def union_runs(*runs: DataFrame) -> DataFrame:

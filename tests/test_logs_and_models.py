@@ -1,5 +1,7 @@
 """Files, reports, adapters, resampling and Spark ML."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,25 @@ def test_models_and_agreement(spark, ev, tmp_path):
 def test_heuristic_scorer(spark, ev):
     rows = vectors.legacy_vector(ev)
     assert scorers.HeuristicScorer().score(rows).filter("model_score is null").isEmpty()
+
+
+def test_bootstrap_seeds_are_unrelated(spark):
+    counts = spark.range(1, 4).select((F.col("id") / 10).alias("v"), F.lit(3).cast("long").alias("n"))
+
+    def draws(seed):
+        rows = significance.resampled(counts, "v", 400, seed).collect()
+        return {(r["v"], r["replicate"]): r["weight"] for r in rows}
+
+    one, two = draws(42), draws(1042)
+    for shift in (-1, 0, 1):
+        both = [(w, two[v, k + shift]) for (v, k), w in one.items() if (v, k + shift) in two]
+        assert sum(a == b for a, b in both) < 0.5 * len(both)
+
+
+def test_validation_sample_sizes(spark):
+    for n, size in ((0, 0), (300, 300), (1000, 1000), (4000, 1000), (7003, 1400)):
+        rows = spark.range(n).withColumnRenamed("id", "event_id")
+        got = [r[0] for r in evaluate.validation_sample(rows).collect()]
+        assert len(got) == size and len(set(got)) == size
+    everything = sorted(range(7003), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    assert set(got) == set(everything[:1400])
