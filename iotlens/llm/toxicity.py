@@ -7,7 +7,10 @@
    Voters that still agree given the class share their evidence, in proportion to that correlation.
 3. *Classifier.*  Logistic regression on the votes, fitted to the posterior labels.
 
-Fitting reads at most about ``rows_per_class`` rows of each label; scoring reads every whole text.  Null and
+Voters see windows of ``WINDOW`` to twice as many words, so a text's length alone brings no votes: fitting counts each window of a
+labelled text as a row, and a text's score stands on its vote shares, that is, in how many of its windows a voter votes.
+
+Fitting reads at most about ``rows_per_class`` rows of each label and as many windows; scoring reads every whole text.  Null and
 empty texts get the score of a text without votes.  Without labelled rows of both kinds the score is the
 share of toxic labels (0 without any).  Rows are scored one by one, so repeated rows get equal scores.
 """
@@ -30,6 +33,7 @@ from iotlens.llm.common import sample_by_count, stored
 _WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
 TIMES = (1, 2, 3)
+WINDOW = 500
 PATTERNS = ("shouting", "exclaims", "symbols", "repeats")
 
 
@@ -54,7 +58,18 @@ class Model:
         return sorted(found | {self.beginnings[e] for e in beginnings(near) if e in self.beginnings})
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(self.bias + self.weights[self.votes(text)].sum()))))
+        parts = windows(text)
+        return float(1 / (1 + np.exp(-(self.bias + sum(self.weights[self.votes(t)].sum() for t in parts) / len(parts)))))
+
+
+def windows(text: str | None) -> list[str]:
+    """The text cut before words into parts of about equally many words, ``WINDOW`` or more if it has so many."""
+    if not text or len(text) < 4 * WINDOW - 1:  # fewer than two windows of one-letter words
+        return [text or ""]
+    starts = [m.start() for m in _WORDS.finditer(text)]
+    n = max(1, len(starts) // WINDOW)
+    cuts = [0, *(starts[k * len(starts) // n] for k in range(1, n)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def patterns(text: str) -> list[int]:
@@ -179,7 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 10_000, candid
     lab = sample_by_count(lab, "_toxic", rows_per_class, F.col("_id"))
     # About 2 * rows_per_class ids and flags: a bounded broadcast.
     known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(lab), "_id")
-    known = stored(known.select("_text", "_toxic").filter(F.length("_text") > 0), "toxicity-sample")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = windows(text)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array([label] * len(parts), pa.int32())], ["_text", "_toxic"])
+
+    known = known.select("_text", "_toxic").filter(F.length("_text") > 0).mapInArrow(cut, "_text string, _toxic int")
+    known = sample_by_count(stored(known, "toxicity-windows"), "_toxic", rows_per_class, F.col("_text"))
+    known = stored(known, "toxicity-sample")
     sizes = {r[0]: r[1] for r in known.groupBy("_toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from harness import compare, connect
 from iotlens.llm import bpe, extract, language, mixing, quality, queries, tokenfile, topk, toxicity, urls
-from iotlens.llm.common import table
+from iotlens.llm.common import id_share, table
 from iotlens.plans.registry import Entry
 
 ODD = [None, "", " ", "\n\n", "x", "don't <|endoftext|> stop", "日本 語 🙂", "a\x1cb\x85c", "é̸ ÀÉ", "aaaa " * 5000]
@@ -125,6 +125,27 @@ def test_toxicity_held_out_and_odd(spark):
     assert 0 <= model.score(None) == model.score("") <= 1
 
 
+def test_toxicity_of_very_long_texts(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels.filter(id_share("doc_id", 3) != 1))
+    rows = docs.join(labels.filter(id_share("doc_id", 3) == 1), "doc_id").select("lang", "toxic", "text", F.size(F.split("text", " ")).alias("n")).orderBy("doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        for toxic in (0, 1):
+            own = [r for r in rows if (r["lang"], r["toxic"]) == (lang, toxic)]
+            for start in range(0, len(own), max(1, len(own) // 8)):  # 20,000 words of held-out rows, from eight places on
+                parts, n = [], 0
+                for r in (own[start:] + own[:start]) * 9:
+                    parts.append(r["text"])
+                    n += r["n"]
+                    if n >= 20_000:
+                        break
+                assert (model.score("\n".join(parts)) >= queries.TOXIC_FROM) == bool(toxic), (lang, toxic, start)
+    for t in (None, "", "a" * 5000, "?" * 5000, "a b " * 3000, "one two. " * 700 + "İé\n"):
+        assert "".join(toxicity.windows(t)) == (t or "")
+    assert len(toxicity.windows("a b " * 3000)) == 12 and len(toxicity.windows("one " * 999)) == 1
+
+
 def test_urls_odd(spark):
     rows = [(1, None), (2, "no scheme"), (3, "://"), (4, "HTTP://WWW.Example.COM/en/x?y://z"), (5, "a://b.net/es/"), (6, "x://com"), (6, "x://com"), (7, "h://ü.org:80/p#q")]
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string").withColumn("host", F.lit(1))).collect()}
