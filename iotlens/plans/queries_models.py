@@ -13,7 +13,7 @@ from iotlens.plans.queries_packets import WITH_RESPONSES
 from iotlens.plans.registry import register
 from iotlens.schemas import FEATURES
 from iotlens.session import shared_dir
-from iotlens.sources.fixture import incoming, packet_event_stream, packet_events
+from iotlens.sources.fixture import TRIGGER_BYTES, disorder_us, incoming, packet_event_stream, packet_events
 from iotlens.streaming import flows
 from iotlens.streaming import state_stream as SS
 
@@ -56,11 +56,23 @@ def _folder(spark) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-@register("stream_behavioral_vector", B.WITH_BEHAVIORAL + "SELECT event_id, " + ", ".join(f"{q6(f)} AS {f}" for f in FEATURES) + " FROM bv")
-def stream_behavioral_vector(spark, sf):
+def _whole(spark, stream, rows, keys, trigger_bytes):
+    """All rows of a stream over a stored table: rows wait as long as the order of its files asks for."""
     flows.use_rocksdb(spark)
-    features = SS.behavioral_stream(incoming(packet_event_stream(spark, sf)))
-    return flows.run_to_table(features.select("event_id", *[r6(f).alias(f) for f in FEATURES]), _folder(spark))
+    delay = disorder_us(rows, keys, trigger_bytes)
+    on_time, late = flows.run_to_end(lambda ends: stream(delay, ends), rows.select(*keys), _folder(spark))
+    if n := late.count():
+        raise RuntimeError(f"{n} rows came behind a delay of {delay} us")
+    return on_time
+
+
+@register("stream_behavioral_vector", B.WITH_BEHAVIORAL + "SELECT event_id, " + ", ".join(f"{q6(f)} AS {f}" for f in FEATURES) + " FROM bv")
+def stream_behavioral_vector(spark, sf, trigger_bytes=TRIGGER_BYTES):
+    events = incoming(packet_event_stream(spark, sf, trigger_bytes))
+    picked = ["event_id", *[r6(f).alias(f) for f in FEATURES], "late"]
+    return _whole(
+        spark, lambda delay, ends: SS.features_and_late(events, delay, ends).select(*picked),
+        incoming(packet_events(spark, sf)), ["protocol", "source_id"], trigger_bytes)
 
 
 @register(
@@ -68,8 +80,10 @@ def stream_behavioral_vector(spark, sf):
     WITH_RESPONSES + " SELECT event_id, mid, routed, CASE WHEN routed THEN prev_source END AS endpoint, "
     "CASE WHEN routed THEN prev_id END AS request_id, CASE WHEN routed THEN t_us - prev_us END AS latency_us FROM resp",
 )
-def stream_request_response(spark, sf):
-    flows.use_rocksdb(spark)
-    coap = packet_event_stream(spark, sf).filter(F.col("protocol") == "coap")
-    out = flows.response_stream(coap).select("event_id", "mid", "routed", "endpoint", "request_id", "latency_us")
-    return flows.run_to_table(out, _folder(spark))
+def stream_request_response(spark, sf, trigger_bytes=TRIGGER_BYTES):
+    coap = F.col("protocol") == "coap"
+    events = packet_event_stream(spark, sf, trigger_bytes).filter(coap)
+    picked = ["event_id", "mid", "routed", "endpoint", "request_id", "latency_us", "late"]
+    return _whole(
+        spark, lambda delay, ends: flows.response_stream(events, delay_us=delay, closing=ends).select(*picked),
+        packet_events(spark, sf).filter(coap), ["mid"], trigger_bytes)

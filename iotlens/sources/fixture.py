@@ -7,7 +7,7 @@ expressions (no shuffle).  ``iotlens.plans.oracle`` states the same rules in SQL
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from iotlens.functions.numeric import settled
@@ -88,13 +88,35 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_packet_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def packet_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Bytes of files that a stream reads in one trigger.
+TRIGGER_BYTES = 256 * 1024 * 1024
+
+
+def disorder_us(rows: DataFrame, keys: list[str], trigger_bytes: int = TRIGGER_BYTES) -> int:
+    """Delay by which rows must wait so that a stream over the files of ``rows`` applies each key's rows in time order.
+
+    A stream reads files by their time of change.  Per key, a file's first row lies at most so far behind, or at,
+    the last row of the files that may be read before it.  0 if one trigger reads all, or no row lies behind.
+    """
+    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()  # one row per file
+    if files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0] <= trigger_bytes or files.count() == 1:
+        return 0
+    rows = rows.select(*keys, "t_us", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+    spans = rows.groupBy(*keys, "file", "changed").agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"))
+    # At most one row per key and file; files of equal time may come in any order.
+    earlier = Window.partitionBy(*keys).orderBy("changed").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.filter(F.collect_list(F.struct("file", "last")).over(earlier), lambda x: x["file"] != F.col("file"))
+    gap = spans.select((F.array_max(F.transform(ahead, lambda x: x["last"])) - F.col("first")).alias("gap")).agg(F.max("gap")).first()[0]
+    return gap + 1 if gap is not None and gap >= 0 else 0
+
+
+def packet_event_stream(spark: SparkSession, sf_dir: str, trigger_bytes: int = TRIGGER_BYTES) -> DataFrame:
     """The same rows as a file-backed stream, whether the table is one file or a folder of part files."""
     prepare(spark)
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
     files = table.inputFiles()
-    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", 256 * 1024 * 1024)
+    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", trigger_bytes)
     if len(files) == 1 and files[0].endswith("/events.parquet"):  # a stream reads folders: that of the file, and of it this file
         return as_packet_events(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     return as_packet_events(reader.parquet(path))

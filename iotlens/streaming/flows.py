@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from iotlens.operators import counters, detect
 from iotlens.settings import Detection
+from iotlens.streaming.state_stream import behind, release
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,6 +25,20 @@ def run_to_table(df: DataFrame, folder: str, output_mode: str = "append") -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
+def run_to_end(stream: Callable[[DataFrame], DataFrame], keys: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream that holds rows back over everything available and then to its end; gives on-time and late rows.
+
+    ``stream`` makes it from a stream of closing rows, which has one row per key (``keys``) once all else has been read.
+    """
+    spark, ends = keys.sparkSession, f"{folder}/ends"
+    keys.limit(0).write.parquet(ends)
+    df = stream(spark.readStream.schema(keys.schema).parquet(ends))
+    run_to_table(df, folder)
+    keys.distinct().write.mode("append").parquet(ends)
+    rows = run_to_table(df, folder)
+    return rows.filter(~F.col("late")).drop("late"), rows.filter("late")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state that can outgrow memory needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -111,8 +126,14 @@ ROUTED = T.StructType(
         T.StructField("endpoint", T.StringType()),
         T.StructField("request_id", T.LongType()),
         T.StructField("latency_us", T.LongType()),
+        T.StructField("late", T.BooleanType()),
     ]
 )
+HELD = T.StructType(
+    [T.StructField(n, T.ArrayType(T.LongType())) for n in ("event_id", "t_us")]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("direction", "source_id")]
+)
+LAST = T.StructType([T.StructField("t_us", T.LongType()), T.StructField("event_id", T.LongType())])
 
 
 def match_in_order(rows: pd.DataFrame, pending: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
@@ -134,25 +155,44 @@ def match_in_order(rows: pd.DataFrame, pending: tuple | None) -> tuple[pd.DataFr
     out = pd.concat([rows[["mid", "event_id", "t_us"]], prior], axis=1)[~asks]
     out["routed"] = out["request_id"].notna()
     out["latency_us"] = out["t_us"].astype("Int64") - out["asked_us"]
+    out["late"] = False
     last = rows.iloc[-1]
     left = (last["source_id"], int(last["t_us"]), int(last["event_id"])) if asks[-1] else None
     return out[[f.name for f in ROUTED.fields]], left
 
 
 class PendingRequests(StatefulProcessor):
-    """The unanswered request of one message id; an old one expires with the state's time to live."""
+    """The unanswered request of one message id; an old one expires with the state's time to live.
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    Rows wait ``delay_us`` of their id's event time for older ones.
+    """
+
+    def __init__(self, ttl_ms: int | None, delay_us: int = 0):
+        self.ttl_ms, self.delay_us = ttl_ms, delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         if self.ttl_ms:
             self.asked = handle.getValueState("asked", ASKED, ttlDurationMs=self.ttl_ms)
         else:
             self.asked = handle.getValueState("asked", ASKED)
+        self.held = handle.getValueState("held", HELD)
+        self.last = handle.getValueState("last", LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ordered = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"], ignore_index=True)
+        rows = pd.concat(list(rows), ignore_index=True)
+        ends = rows["closing"].to_numpy(dtype=bool)
+        ordered = rows.loc[~ends, HELD.fieldNames()].sort_values(["t_us", "event_id"], ignore_index=True)
+        if self.last.exists():
+            late = behind(ordered, tuple(self.last.get()), self.delay_us)
+            if late.any():
+                yield self._late(key, ordered[late])
+            ordered = ordered[~late].reset_index(drop=True)
+        if self.delay_us:
+            ordered = release(self.held, HELD, ordered, self.delay_us, bool(ends.any()))
+        if not len(ordered):
+            return
+        self.last.update((int(ordered["t_us"].iloc[-1]), int(ordered["event_id"].iloc[-1])))
+        ordered = ordered.assign(mid=key[0])
         pending = tuple(self.asked.get()) if self.asked.exists() else None
         out, left = match_in_order(ordered, pending)
         if left is not None:
@@ -162,19 +202,33 @@ class PendingRequests(StatefulProcessor):
         if len(out):
             yield out
 
+    def _late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["event_id", "t_us"]].assign(mid=key[0], routed=False, endpoint=None, request_id=None, latency_us=None, late=True)
+        return out.astype({"request_id": "Int64", "latency_us": "Int64"})[[f.name for f in ROUTED.fields]]
+
     def close(self) -> None:
         pass
 
 
-def response_stream(messages: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of ``operators.correlate.route_responses``; responses without an id are unrouted."""
+def response_stream(
+    messages: DataFrame, ttl_ms: int | None = None, delay_us: int = 0, closing: DataFrame | None = None
+) -> DataFrame:
+    """Stream form of ``operators.correlate.route_responses``; responses without an id are unrouted.
+
+    Rows wait ``delay_us`` of their id's event time for older ones; a row of the stream ``closing`` (``mid``) releases what its
+    id still holds.  Requests and responses behind what has been matched come out unrouted with ``late = true``.
+    """
     columns = messages.select("mid", "event_id", "t_us", "direction", "source_id")
     mode = "processingTime" if ttl_ms else "none"
-    matched = columns.filter(F.col("mid").isNotNull()).groupBy("mid").transformWithStateInPandas(
-        PendingRequests(ttl_ms), ROUTED, outputMode="append", timeMode=mode
+    rows = columns.filter(F.col("mid").isNotNull()).withColumn("closing", F.lit(False))
+    if closing is not None:
+        no = [F.lit(0).cast("long").alias(n) for n in ("event_id", "t_us")] + [F.lit("").alias(n) for n in ("direction", "source_id")]
+        rows = rows.unionByName(closing.filter(F.col("mid").isNotNull()).select("mid", *no, F.lit(True).alias("closing")))
+    matched = rows.groupBy("mid").transformWithStateInPandas(
+        PendingRequests(ttl_ms, delay_us), ROUTED, outputMode="append", timeMode=mode
     )
     given = {"mid", "event_id", "t_us"}
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ROUTED.fields if f.name not in given | {"routed"}]
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ROUTED.fields if f.name not in given | {"routed", "late"}]
     loose = columns.filter(F.col("mid").isNull() & (F.col("direction") != "incoming"))
-    loose = loose.select("mid", "event_id", "t_us", F.lit(False).alias("routed"), *nothing)
+    loose = loose.select("mid", "event_id", "t_us", F.lit(False).alias("routed"), *nothing, F.lit(False).alias("late"))
     return matched.unionByName(loose)

@@ -2,7 +2,9 @@
 
 State per (protocol, source): the rows of the last 30 seconds as parallel lists, the time of
 the last row and the session start.  Rows of a micro-batch are put in event-time order per
-source before they are applied.  A row older than what its source has already seen is not
+source before they are applied.  With a delay, rows stay in the state until their source's newest
+row is more than the delay ahead of them, so files in mixed order give the results of the batch form;
+closing rows release what is left.  A row older than what its source has already applied is not
 applied; it goes to the output with ``late = true`` so that it can be counted and kept.
 """
 
@@ -37,6 +39,10 @@ HISTORY = T.StructType(
     [T.StructField(n, T.ArrayType(T.StringType() if n == "resource" else T.LongType())) for n in _HISTORY]
     + [T.StructField("since_us", T.LongType())]
 )
+# Rows that wait for their delay, as parallel lists.
+_HELD = [*PASSED, "resource", *FLAGS]
+_TYPES = {**dict.fromkeys(["direction", "event", "detail", "resource"], T.StringType()), "payload_entropy": T.DoubleType()}
+HELD = T.StructType([T.StructField(n, T.ArrayType(_TYPES.get(n, T.LongType()))) for n in _HELD])
 OUTPUT = T.StructType(
     [
         T.StructField("protocol", T.StringType()),
@@ -95,19 +101,27 @@ def _distinct(values: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class SourceWindows(StatefulProcessor):
-    """Keeps the last 30 seconds of one source."""
+    """Keeps the last 30 seconds of one source, and its rows of the last ``delay_us``."""
+
+    def __init__(self, delay_us: int = 0):
+        self.delay_us = delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getValueState("history", HISTORY)
+        self.held = handle.getValueState("held", HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One trigger's rows of one source; the trigger's input limit bounds their number.
-        fresh = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"], ignore_index=True)
+        # One trigger's rows of one source; the trigger's input limit and the delay bound their number.
+        fresh = pd.concat(list(rows), ignore_index=True)
+        ends = fresh["closing"].to_numpy(dtype=bool)
+        fresh = fresh.loc[~ends, _HELD].sort_values(["t_us", "event_id"], ignore_index=True)
         old, since, last = self._restore()
         late = pd.Series(False, index=fresh.index)
         if last is not None:
-            late = (fresh["t_us"] < last[0]) | ((fresh["t_us"] == last[0]) & (fresh["event_id"] < last[1]))
+            late = behind(fresh, last, self.delay_us)
         dropped, fresh = fresh[late], fresh[~late].reset_index(drop=True)
+        if self.delay_us:
+            fresh = release(self.held, HELD, fresh, self.delay_us, bool(ends.any()))
         if len(fresh):
             known = pd.concat([old, fresh[_HISTORY]], ignore_index=True) if len(old) else fresh[_HISTORY]
             since = int(fresh["t_us"].iloc[0]) if since is None else since
@@ -141,6 +155,33 @@ class SourceWindows(StatefulProcessor):
         pass
 
 
+def behind(rows: pd.DataFrame, last: tuple[int, int], delay_us: int) -> pd.Series:
+    """Rows that come before the last applied one ``(t_us, event_id)``; with a delay, rows of its time have been applied together."""
+    same = rows["t_us"] == last[0]
+    return (rows["t_us"] < last[0]) | (same if delay_us else same & (rows["event_id"] < last[1]))
+
+
+def release(held, schema: T.StructType, fresh: pd.DataFrame, delay_us: int, closing: bool) -> pd.DataFrame:
+    """Rows, in order, that are more than the delay older than the newest one, or all at the end; the others stay in ``held``."""
+    names = schema.fieldNames()
+    if held.exists():
+        kept = held.get()
+        kept = pd.DataFrame({n: pd.Series(list(kept[i]), dtype=None if len(kept[i]) else object) for i, n in enumerate(names)})
+        fresh = pd.concat([kept, fresh[names]], ignore_index=True) if len(fresh) else kept
+        fresh = fresh.sort_values(["t_us", "event_id"], ignore_index=True)
+    if not len(fresh):
+        return fresh
+    ready = len(fresh) if closing else int(np.searchsorted(fresh["t_us"].to_numpy(), fresh["t_us"].iloc[-1] - delay_us, side="left"))
+    waiting = fresh.iloc[ready:]
+    if len(waiting):
+        convert = {T.LongType(): int, T.DoubleType(): float, T.StringType(): str}
+        held.update(tuple(
+            [None if v is None or v != v else convert[f.dataType.elementType](v) for v in waiting[f.name]] for f in schema.fields))
+    else:
+        held.clear()
+    return fresh.iloc[:ready].reset_index(drop=True)
+
+
 def with_facts(events: DataFrame) -> DataFrame:
     """Client packets with the per-row facts of :data:`FLAGS` as whole numbers."""
     values = state._values()
@@ -156,19 +197,31 @@ def with_facts(events: DataFrame) -> DataFrame:
     )
 
 
-def source_state_stream(events: DataFrame) -> DataFrame:
-    """Stream form of ``operators.state.source_state`` with a ``late`` flag."""
-    return (
-        with_facts(events)
-        .groupBy("protocol", "source_id")
-        .transformWithStateInPandas(SourceWindows(), OUTPUT, outputMode="append", timeMode="none")
+def source_state_stream(events: DataFrame, delay_us: int = 0, closing: DataFrame | None = None) -> DataFrame:
+    """Stream form of ``operators.state.source_state`` with a ``late`` flag.
+
+    Rows wait ``delay_us`` of their source's event time for older ones.  A row of the stream ``closing`` (``protocol``,
+    ``source_id``) releases what its source still holds.
+    """
+    rows = with_facts(events).withColumn("closing", F.lit(False))
+    if closing is not None:
+        zero = {T.LongType(): 0, T.DoubleType(): 0.0, T.StringType(): ""}
+        rest = [F.lit(zero[_TYPES.get(n, T.LongType())]).cast(_TYPES.get(n, T.LongType())).alias(n) for n in _HELD]
+        rows = rows.unionByName(closing.select("protocol", "source_id", *rest, F.lit(True).alias("closing")))
+    return rows.groupBy("protocol", "source_id").transformWithStateInPandas(
+        SourceWindows(delay_us), OUTPUT, outputMode="append", timeMode="none"
     )
 
 
-def behavioral_stream(events: DataFrame) -> DataFrame:
-    """Client packets of a stream with all behavioral features; late rows are left out."""
+def features_and_late(events: DataFrame, delay_us: int = 0, closing: DataFrame | None = None) -> DataFrame:
+    """Client packets of a stream with all behavioral features and the flag ``late``; late rows have no features."""
     cols = vectors.behavioral_columns()
-    on_time = source_state_stream(events).filter(~F.col("late"))
-    return on_time.select(
-        "protocol", "source_id", *PASSED, *[cols[f].alias(f) for f in FEATURES]
+    rows = source_state_stream(events, delay_us, closing)
+    return rows.select(
+        "protocol", "source_id", *PASSED, "late", *[F.when(~F.col("late"), cols[f]).alias(f) for f in FEATURES]
     )
+
+
+def behavioral_stream(events: DataFrame, delay_us: int = 0, closing: DataFrame | None = None) -> DataFrame:
+    """Client packets of a stream with all behavioral features; late rows are left out (``features_and_late`` has them)."""
+    return features_and_late(events, delay_us, closing).filter(~F.col("late")).drop("late")

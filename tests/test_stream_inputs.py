@@ -2,10 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from iotlens.functions.entropy import batch_entropy
+from iotlens.plans import catalog
 from iotlens.sources.fixture import packet_event_stream, packet_events
-from iotlens.streaming.flows import response_stream
+from iotlens.streaming.flows import response_stream, run_to_end, use_rocksdb
 
 
 def drained(stream, name, tmp_path, mode="append"):
@@ -20,6 +22,30 @@ def test_table_as_folder_gives_all_rows(spark, small, tmp_path):
     assert len(rows) == packet_events(spark, small).count() > 0
 
 
+def test_streams_over_files_in_mixed_order_give_the_rows_of_one_trigger(spark, small, tmp_path):
+    for k in range(8):  # files out of time order; each has rows of the whole range
+        spark.read.parquet(f"{small}/events.parquet").filter(f"event_id * 7919 % 1009 % 8 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_behavioral_vector", "stream_request_response"):
+        run = catalog.entries()[name].run
+        want = sorted(map(str, run(spark, small).collect()))
+        got = sorted(map(str, run(spark, str(tmp_path), 1).collect()))  # one file a trigger
+        assert got == want and len(want) > 0, (name, len(got), len(want))
+
+
+def test_late_responses_are_flagged(spark, tmp_path):
+    schema = "mid long, event_id long, t_us long, direction string, source_id string"
+    for at, rows in enumerate(([(1, 1, 10, "incoming", "a"), (1, 3, 30, "incoming", "b")], [(1, 2, 20, "outgoing", "c"), (1, 4, 40, "outgoing", "c")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        __import__("time").sleep(1.1)
+    use_rocksdb(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ends = lambda e: response_stream(stream, delay_us=100, closing=e)
+    on_time, late = run_to_end(ends, spark.read.parquet(str(tmp_path / "in")).select("mid"), str(tmp_path / "whole"))
+    assert sorted((r["event_id"], r["request_id"]) for r in on_time.collect()) == [(2, 1), (4, 3)] and late.count() == 0
+    on_time, late = run_to_end(lambda e: response_stream(stream, closing=e), spark.range(1).select(F.lit(1).cast("long").alias("mid")), str(tmp_path / "none"))
+    assert [(r["event_id"], r["request_id"]) for r in on_time.collect()] == [(4, 3)] and [r["event_id"] for r in late.collect()] == [2]
+
+
 def test_responses_without_id_stay_unrouted(spark, tmp_path):
     rows = [(1, 1, 10, "incoming", "a"), (1, 2, 15, "outgoing", "b"), (None, 3, 20, "outgoing", "b"), (None, 4, 21, "incoming", "a")]
     schema = "mid long, event_id long, t_us long, direction string, source_id string"
