@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from iotlens.operators import adapters, detect, evaluate, models, scorers, significance, vectors
+from iotlens.plans import catalog
 from iotlens.schemas import FEATURES
 from iotlens.sources import logs
 from iotlens.sources.fixture import capture, incoming, packet_events
@@ -151,3 +152,12 @@ def test_validation_sample_sizes(spark):
         assert len(got) == size and len(set(got)) == size
     everything = sorted(range(7003), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
     assert set(got) == set(everything[:1400])
+
+
+def test_tree_settings_are_those_of_the_survey(spark):
+    forest = models.random_forest(FEATURES, 7)[-1]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (250, 30, 2)
+    found = {n: models.BUILDERS[n](FEATURES, 7)[-1].getClassifier() for n in ("boosted_trees", "hist_boosting")}
+    assert {n: (b.getMaxIter(), b.getStepSize(), b.getMaxDepth(), b.getMaxBins(), b.getSubsamplingRate()) for n, b in found.items()} == {
+        "boosted_trees": (140, 0.08, 5, 255, 0.9), "hist_boosting": (180, 0.07, 8, 255, 1.0)}
+    assert {"model_boosted_trees", "model_hist_boosting"} <= set(catalog.entries())
