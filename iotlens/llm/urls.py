@@ -3,6 +3,9 @@
 *Rules.*  A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's; the longest
 rule wins (ties: the longer host).  All rules of a url are found by looking its domain suffixes up in a map, without a join.
 
+*Places.*  A host's public suffix is the longest one of ``SUFFIXES`` that it ends with, else its last label; its registered domain has
+one label more.  IPv4 and bracketed IPv6 addresses are suffix and domain of their own.
+
 *Reputation.*  Labelled pages give good and bad outcomes.  The share of bad pages is a beta-binomial at each level: the
 suffix's prior is the overall share, the registered domain's prior the suffix's posterior mean, the host's prior the
 domain's, each worth as many pages as the spread between the rows of its level shows (method of moments, 2 to 200
@@ -23,6 +26,14 @@ RULES = (
 )
 Z, LIMIT = 1.645, 0.5
 LEAST, MOST = 2.0, 200.0
+# Public suffixes of two labels under which names are registered; a bounded list, others can be passed.
+SUFFIXES = tuple(f"{second}.{top}" for top, seconds in {
+    "uk": "co org me ltd plc net sch ac gov", "au": "com net org edu gov id asn", "nz": "co net org ac govt school", "za": "co org net ac gov",
+    "jp": "co ne or ac go ad ed gr lg", "kr": "co or ne re go ac pe", "in": "co net org gen firm ind ac gov", "br": "com net org gov edu",
+    "mx": "com net org gob edu", "ar": "com net org gob edu", "co": "com net org gov edu", "cn": "com net org gov edu ac", "tw": "com net org gov edu idv",
+    "hk": "com net org gov edu idv", "sg": "com net org gov edu per", "my": "com net org gov edu", "tr": "com net org gov edu bel", "il": "co org net ac gov muni",
+    "id": "co or web ac go sch", "th": "co or in ac go net", "ua": "com net org gov edu", "pl": "com net org gov edu", "at": "co or ac gv", "es": "com nom org gob edu",
+}.items() for second in seconds.split())
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -57,10 +68,18 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = R
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def place(host: Column) -> tuple[Column, Column]:
-    """Suffix (last label) and registered domain (last two labels), without port."""
-    name = F.substring_index(host, ":", 1)
-    return F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+def place(host: Column, public: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix and registered domain, without port; a name that is a suffix itself, or an address, is its own domain."""
+    bracketed = F.startswith(host, F.lit("["))
+    name = F.when(bracketed, F.concat(F.substring_index(host, "]", 1), F.lit("]"))).otherwise(F.substring_index(host, ":", 1))
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    whole = bracketed | F.rlike(name, F.lit(rf"^({octet}\.){{3}}{octet}$"))
+    suffix, domain = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in public}):  # longer ones win
+        known = F.substring_index(name, ".", -n).isin(*(s for s in public if s.count(".") + 1 == n))
+        suffix = F.when(known, F.substring_index(name, ".", -n)).otherwise(suffix)
+        domain = F.when(known, F.substring_index(name, ".", -n - 1)).otherwise(domain)
+    return F.when(whole, name).otherwise(suffix), F.when(whole, name).otherwise(domain)
 
 
 def _shrink(rows: DataFrame) -> DataFrame:
@@ -76,9 +95,9 @@ def _shrink(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(spread)).withColumn("a", up * F.col("w") + bad).withColumn("b", (1 - up) * F.col("w") + n - bad).drop("w", "up")
 
 
-def reputation(labelled: DataFrame) -> DataFrame:
+def reputation(labelled: DataFrame, public: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``host, a, b``: beta posterior of the bad share of every host of ``labelled`` (``host``, ``bad`` 1, 0 or null: unlabelled)."""
-    suffix, domain = place(F.col("host"))
+    suffix, domain = place(F.col("host"), public)
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
@@ -97,12 +116,13 @@ def blocked(z: float = Z, limit: float = LIMIT) -> Column:
     return a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > limit
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url: str = "url", z: float = Z, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url: str = "url", z: float = Z, limit: float = LIMIT,
+          public: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` (replacing columns of these names); pages that a rule judges are the labelled ones."""
     own = pages.select(F.col(url).alias("_url"), *(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")))
     parsed = own.withColumn("host", split(F.col("_url"))[0]).withColumn("path", split(F.col("_url"))[1]).drop("_url")
     parsed = parsed.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
-    hosts = reputation(parsed.select("host", (F.col("_rule.verdict") == "block").cast("int").alias("bad")))
+    hosts = reputation(parsed.select("host", (F.col("_rule.verdict") == "block").cast("int").alias("bad")), public)
     verdicts = hosts.select(F.col("host").alias("_host"), F.when(blocked(z, limit), "block").otherwise("allow").alias("_verdict"))
     joined = parsed.join(verdicts, parsed["host"] == verdicts["_host"], "left")
     return joined.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), F.col("_verdict"))).drop("_rule", "_host", "_verdict")

@@ -155,6 +155,16 @@ def test_urls_odd(spark):
     assert urls.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_urls_places(spark):
+    want = {
+        "www.shop.co.uk:80": ("co.uk", "shop.co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.example.com": ("com", "example.com"), "com": ("com", "com"), "": ("", ""),
+        "10.1.2.3:8080": ("10.1.2.3", "10.1.2.3"), "1.2.3.999": ("999", "3.999"), "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]"), "x.y.own.test": ("own.test", "y.own.test"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    got = hosts.select("host", *urls.place(F.col("host"), (*urls.SUFFIXES, "own.test"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(700, 16)).round(2)
