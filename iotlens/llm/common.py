@@ -32,11 +32,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows written to the shared folder and read back: lineage ends here."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", group_bytes: int | None = None) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage ends here.
+
+    ``group_bytes`` bounds the bytes of a row group, so that few large rows are still read by many tasks.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, tokenfile, topk, toxicity, urls
+from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, ranked, tokenfile, topk, toxicity, urls
 from iotlens.llm.common import id_share, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_tokens": op10_tokens,
+    "op11_ranked": op11_ranked,
 }
 
-SQL: dict[str, str] = {"op3_urls": urls.SQL, "op4_topk": topk.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_urls": urls.SQL, "op4_topk": topk.SQL, "op8_mixing": mixing.SQL, "op11_ranked": ranked.SQL}
