@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotlens.llm import bpe, extract, jaccard, language, mixing, quality, ranked, tokenfile, topk, toxicity, urls, whitening
+from iotlens.llm import bpe, extract, jaccard, language, minhash, mixing, quality, ranked, tokenfile, topk, toxicity, urls, whitening
 from iotlens.llm.common import id_share, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op10_tokens": op10_tokens,
     "op11_ranked": op11_ranked,
     "op12_whitening": op12_whitening,
+    "op13_minhash": op13_minhash,
 }
 
 SQL: dict[str, str] = {"op3_urls": urls.SQL, "op4_topk": topk.SQL, "op8_mixing": mixing.SQL, "op11_ranked": ranked.SQL}
