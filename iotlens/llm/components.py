@@ -9,7 +9,7 @@ from iotlens.llm.common import stored
 
 
 def components(edges: DataFrame, name: str, rounds: int = 200) -> DataFrame:
-    """``node, least``: the smallest node reachable from every node that has an edge ``a, b``.
+    """``node, least``: the smallest node reachable from each node with an edge ``a, b``; that smallest node itself has no row.
 
     Large-star hangs what lies above a node under its smallest neighbour, small-star what lies below; both keep components, and
     rounds end when nothing changes.  The number of rounds grows with the logarithm of the longest path; if ``rounds`` didn't
@@ -26,7 +26,6 @@ def components(edges: DataFrame, name: str, rounds: int = 200) -> DataFrame:
         edges = stored(joined.unionByName(lows.select("a", F.col("m").alias("b"))).distinct(), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("least")).distinct())
+            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         before = now
     raise RuntimeError(f"components haven't settled after {rounds} rounds")

@@ -7,12 +7,13 @@ A document is the set of 64-bit hashes of its distinct shingles of four words; e
 2. *Banding.*  Empty registers borrow from others in a fixed random order, then ``BANDS`` bands of ``ROWS`` registers give keys.  At a
    similarity of 0.8 all keys differ with a chance of about ``(1 - 0.8^6)^42``, 3 in a million pairs; more similar ones far less.
 3. *Pivots.*  The smallest class of a key is its pivot, found by an aggregate that combines before the shuffle, so a group of any size
-   gives one pair a member: with the pivot it shares most keys with.  What a pivot links is one component already.
-4. *Open keys.*  Keys that still join several components are compared whole, by 128 one-byte codes, without pairs inside a
-   component: first each member's ``NEAREST``, then, between what is left apart, all.  A key of more than ``CHUNK`` classes is cut into
+   gives few pairs a member: with the ``PIVOTS`` that share most keys with it.  What a pivot links is one component already.
+4. *Open keys.*  Keys that still join several components are compared whole, by one-byte codes, without pairs inside a
+   component and each pair under its first common key: first each member's closest, then, between what is left apart, all.  A key of more than ``CHUNK`` classes is cut into
    chunks: its largest component meets the rest chunk by chunk, so no task holds a whole key.
 5. *Estimate.*  Candidates must reach 0.8 by the share of equal registers, less the collisions that short registers make by
-   chance, within a margin of one in 10^9 (an exact binomial tail over the registers that either set fills).
+   chance, within a margin of one in 10^9 (an exact binomial tail over the registers that either set fills).  Registers of small sets say
+   more: each unequal one holds an element that only one set has, and of those linked sets have only so many.
 6. *Verification.*  Whole texts of the rest meet by pivot, split by bytes, and full sets decide.
 
 Texts of one to three words are one shingle.  Null texts and texts without words are linked with nothing.  Ties and repeated rows share
@@ -43,7 +44,8 @@ REGISTERS = 256
 MANTISSA = 10
 ROWS = 6
 BANDS = 42
-NEAREST = 4
+PIVOTS = 8
+NEAREST = 2
 CHUNK = 4096
 RISK = 1e-9
 TASK_BYTES = 24_000_000
@@ -102,9 +104,8 @@ def band_keys(r: np.ndarray) -> np.ndarray:
 
 
 def codes(r: np.ndarray) -> np.ndarray:
-    """One byte for every other register, 0 if empty; equal registers have equal codes."""
-    half = r[:, ::2]
-    return np.where(half == 0, 0, 1 + (half >> np.uint16(MANTISSA - 6)) % 255).astype(np.uint8)
+    """One byte a register, 0 if empty; equal registers have equal codes."""
+    return np.where(r == 0, 0, 1 + (r >> np.uint16(MANTISSA - 6)) % 255).astype(np.uint8)
 
 
 @lru_cache(maxsize=8)
@@ -143,6 +144,11 @@ def similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -
     return (equal - by_chance) / np.maximum(either, 1), either
 
 
+def apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Most elements that only one of two linked sets holds.  Every unequal register holds one, so no more registers are unequal."""
+    return na + nb - 2 * -(-num * (na + nb) // (num + den))
+
+
 DOCUMENT = "_id {}, _hash long, class binary, size long, registers binary"
 
 
@@ -177,10 +183,12 @@ def _across(num: int, den: int, nearest: int | None):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "cell", "size", "c"], ignore_index=True)
-        rows = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(-1, REGISTERS // 2)
+        rows = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(-1, REGISTERS)
+        bands = np.frombuffer(b"".join(pdf["bands"]), np.uint32).reshape(-1, BANDS)
         size, c, comp = (pdf[k].to_numpy(np.int64) for k in ("size", "c", "comp"))
         key, cell = pdf["key"].to_numpy(), pdf["cell"].to_numpy()
-        least = least_equal(REGISTERS // 2, num, den)
+        band = (bands == key.astype(np.int64).view(np.uint64).astype(np.uint32)[:, None]).argmax(1)
+        least = least_equal(REGISTERS, num, den)
         borders = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), True])
         out = []
         for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
@@ -190,13 +198,17 @@ def _across(num: int, den: int, nearest: int | None):
                 j = j[comp[j] != comp[i]]
                 if not len(j):
                     continue
-                full = (rows[j] != 0) | (rows[i] != 0)
-                equal = ((rows[j] == rows[i]) & full).sum(1)
-                fits = equal >= least[full.sum(1)]
-                j = j[fits][np.argsort(-equal[fits], kind="stable")[:nearest]]
-                out.append(np.column_stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                full = ((rows[j] != 0) | (rows[i] != 0)).sum(1)
+                unequal = (rows[j] != rows[i]).sum(1)
+                fits = (full - unequal >= least[full]) & (unequal <= apart(size[i], size[j], num, den))
+                fits[fits] = (bands[j[fits], : band[i]] != bands[i, : band[i]]).all(1)  # else they meet under an earlier key
+                out.append(np.column_stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), 1000 * unequal // np.maximum(full, 1)])[fits])
+        pairs = pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64), columns=["a", "b", "far"])
+        if not nearest:
+            return pairs
+        both = pd.concat([pairs.assign(own=pairs["a"]), pairs.assign(own=pairs["b"])])
+        close = both.sort_values(["own", "far", "a", "b"]).groupby("own").head(nearest)
+        return close[["a", "b", "far"]].drop_duplicates()
 
     return run
 
@@ -242,8 +254,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
     @F.pandas_udf("boolean")
     def possible(na: pd.Series, ra: pd.Series, nb: pd.Series, rb: pd.Series) -> pd.Series:
-        share, either = similarity(_rows(list(ra)), _rows(list(rb)), na.to_numpy(), nb.to_numpy())
-        return pd.Series(share * either >= least_equal(REGISTERS, num, den)[either] - 1)  # one less: collisions are an expectation
+        a, b, sa, sb = _rows(list(ra)), _rows(list(rb)), na.to_numpy(), nb.to_numpy()
+        share, either = similarity(a, b, sa, sb)
+        likely = share * either >= least_equal(REGISTERS, num, den)[either] - 1  # one less: collisions are an expectation
+        return pd.Series(likely & ((a != b).sum(1) <= apart(sa, sb, num, den)))
 
     sized = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     return pairs.join(left, "a").join(right, "b").filter(sized).filter(possible("na", "ra", "nb", "rb")).select("a", "b")
@@ -267,7 +281,7 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den:
 
 
 def open_cells(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key, cell, c, comp, size, codes`` of keys that hold several components; cells cut keys of more than ``CHUNK`` classes."""
+    """``key, cell, c, comp, size, codes, bands`` of keys that hold several components; cells cut keys of more than ``CHUNK`` classes."""
     placed = stored(posts.join(comps, posts["c"] == comps["node"], "left").select("key", "c", F.coalesce("least", "c").alias("comp")), "minhash-placed")
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     keys = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
@@ -283,7 +297,15 @@ def open_cells(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
     with_mains = F.transform(every(mains), lambda i: F.concat_ws("-", F.lit("m"), i, F.col("own")))
     among = F.transform(every(others), lambda j: F.concat_ws("-", F.lit("o"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
     split = cut.withColumn("own", own).select("key", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_mains, among))).alias("cell"), "c", "comp")
-    return whole.unionByName(split).join(classes.select("c", "size", "codes"), "c")
+    return whole.unionByName(split).join(classes.select("c", "size", "codes", "bands"), "c")
+
+
+def closest(found: DataFrame, nearest: int | None) -> DataFrame:
+    """Distinct pairs ``a, b``; with ``nearest`` only those that are the closest of one of their two."""
+    if nearest is None:
+        return found.select("a", "b").distinct()
+    ends = found.select("a", "b", "far", F.col("a").alias("own")).unionByName(found.select("a", "b", "far", F.col("b").alias("own")))
+    return ends.groupBy("own").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
 
 
 @F.pandas_udf(BinaryType())
@@ -291,6 +313,12 @@ def _codes(raw: pd.Series) -> pd.Series:
     return pd.Series([row.tobytes() for row in codes(_rows(list(raw)))] if len(raw) else [], dtype=object)
 
 
+@F.pandas_udf(BinaryType())
+def _bands(raw: pd.Series) -> pd.Series:
+    """The low half of every band key."""
+    return pd.Series([row.tobytes() for row in band_keys(filled(_rows(list(raw)))).astype(np.uint32)] if len(raw) else [], dtype=object)
+
+
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``_id, size, class, component_id``; threshold ``num/den``."""
     base = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
@@ -300,19 +328,20 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     at = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "size", "registers")).alias("at")
     classes = rows.filter(F.col("size") > 0).groupBy("class").agg(at).select(
         F.monotonically_increasing_id().alias("c"), "class", "at._id", "at._hash", "at.size", "at.registers")
-    classes = stored(classes.withColumn("codes", _codes("registers")).withColumn("bytes", 8 * F.col("size")), "minhash-classes")
+    classes = stored(classes.withColumn("codes", _codes("registers")).withColumn("bands", _bands("registers")).withColumn("bytes", 8 * F.col("size")), "minhash-classes")
     posts = stored(classes.select("c", "registers").mapInArrow(_posts, "key long, c long"), "minhash-posts")
     shared = posts.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a != z").select("key", "a")
     star = posts.join(shared, "key").filter(F.col("a") != F.col("c")).groupBy("c", "a").agg(F.count("*").alias("n"))
-    pairs = stored(star.groupBy("c").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("c").alias("b")), "minhash-pairs")
+    most_shared = F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, PIVOTS)  # a class has at most BANDS pivots
+    pairs = stored(star.groupBy("c").agg(most_shared.alias("m")).select(F.explode("m.a").alias("a"), F.col("c").alias("b")), "minhash-pairs")
     edges = stored(links(base, classes, pairs, num, den), "minhash-links")
     tested, comps = pairs, components(edges, "minhash-edges")
     for nearest in (NEAREST, None):
         cells = open_cells(posts, comps, classes)
         tasks = max(8, ceil(cells.count() / 50_000))
         bucket = F.pmod(F.xxhash64("key", "cell"), F.lit(tasks)).alias("bucket")
-        more = cells.groupBy(bucket).applyInPandas(_across(num, den, nearest), "a long, b long").distinct()
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "minhash-more")
+        found = cells.groupBy(bucket).applyInPandas(_across(num, den, nearest), "a long, b long, far long")
+        more = stored(closest(found, nearest).join(tested, ["a", "b"], "left_anti"), "minhash-more")
         if not more.isEmpty():
             edges = edges.unionByName(stored(links(base, classes, more, num, den), "minhash-links"))
             comps = components(edges, "minhash-edges")
