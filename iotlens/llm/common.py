@@ -52,6 +52,14 @@ def small(df: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def unused(df: DataFrame, start: str) -> str:
+    """A beginning for helper columns that no column of ``df`` has, whatever its letters' case."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(start.lower()) for c in names):
+        start += "_"
+    return start
+
+
 def id_share(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts

@@ -34,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotlens.llm.bpe import slices
-from iotlens.llm.common import hashed_words, small, stored, window_hashes
+from iotlens.llm.common import hashed_words, small, stored, unused, window_hashes
+from iotlens.llm.components import components
 
 WIDTH = 5
 BINS = 1 << 18
 CHUNK = 1 << 14
 SHORT = 16
 NEAREST = 4
-TEXTS_PER_TASK = 1000
+TASK_BYTES = 24_000_000
 POSTS_PER_PART = 1_000_000
 
 CLASS = np.dtype([("name", ">u8", 2), ("size", "<u4")])
+WAITING = np.dtype([("list", "<u8"), ("prev", "<u8"), ("pos", "<u2")])
 POST = np.dtype([("key", "<u8"), ("prev", "<u8"), ("set", "<u4"), ("pos", "<u2")])
 
 
@@ -269,19 +271,65 @@ def _candidates(num: int, den: int):
         got = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
         raw = names.astype(">u8")
         name = lambda k: [raw[x].tobytes() for x in k]
-        out = pd.DataFrame({"a": name(got[:, 0]), "b": name(got[:, 1]), "list": None, "size": None, "pos": None, "prev": None})
+        out = pd.DataFrame({"a": name(got[:, 0]), "b": name(got[:, 1]), "posts": None})
         if later:
             q = p[np.concatenate(later)]
-            more = pd.DataFrame({
-                "a": name(q["set"]), "b": None, "list": q["key"].view("<i8"), "size": sizes[q["set"]],
-                "pos": q["pos"].astype(np.int64), "prev": q["prev"].view("<i8")})
-            out = pd.concat([out, more], ignore_index=True)
+            q = q[np.argsort(q["set"], kind="stable")]
+            packed = np.zeros(len(q), WAITING)
+            packed["list"], packed["prev"], packed["pos"] = q["key"], q["prev"], q["pos"]
+            starts = np.flatnonzero(np.r_[True, q["set"][1:] != q["set"][:-1]])
+            own = [x.tobytes() for x in np.split(packed, starts[1:])]
+            out = pd.concat([out, pd.DataFrame({"a": name(q["set"][starts]), "b": None, "posts": own})], ignore_index=True)
         return out
 
     return run
 
 
-CANDIDATE = "a binary, b binary, list long, size long, pos long, prev long"
+CANDIDATE = "a binary, b binary, posts binary"
+PACKED = "part int, names binary, sizes binary, groups binary, lengths binary, sketches binary, posts binary"
+
+
+def _repack(parts: int):
+    """Classes with all their waiting posts to packed pieces by list: a class and its sketch stand once in each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, int, bytes, bytes]] = []
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            p = np.concatenate(waiting)
+            posts = np.zeros(len(p), POST)
+            posts["key"], posts["prev"], posts["pos"] = p["list"], p["prev"], p["pos"]
+            posts["set"] = np.repeat(np.arange(len(held)), [len(w) for w in waiting])
+            part = (p["list"] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts), side="right").tolist()
+            for k, (start, end) in enumerate(zip([0, *ends], ends)):
+                if end == start:
+                    continue
+                own = posts[order[start:end]]
+                used, own["set"] = np.unique(own["set"], return_inverse=True)
+                sets = [held[u] for u in used.tolist()]
+                row = [k, b"".join(x[0] for x in sets), np.array([x[1] for x in sets], "<i8").tobytes(), b"".join(x[2] for x in sets),
+                       np.array([len(x[3]) for x in sets], "<i8").tobytes(), b"".join(x[3] for x in sets), own.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.binary()] * 6])],
+                                                 ["part", "names", "sizes", "groups", "lengths", "sketches", "posts"])
+            held.clear(), waiting.clear()
+            size = 0
+
+        for b in batches:
+            for r in b.to_pylist():
+                held.append((r["a"], r["size"], r["group"], r["sketch"]))
+                waiting.append(np.concatenate([np.frombuffer(x, WAITING) for x in r["posts"]]))
+                size += len(r["sketch"]) + 30 * len(waiting[-1])
+                if size > 16_000_000:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -297,17 +345,32 @@ def _across(num: int, den: int, nearest: int | None):
     """Pairs of one list whose sets are in different groups and still possible; each set's ``nearest`` by sketch, or all."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["list", "size", "a"], ignore_index=True)
-        p = np.zeros(len(pdf), POST)
-        p["prev"], p["pos"], p["set"] = pdf["prev"].to_numpy("<i8").view("<u8"), pdf["pos"], np.arange(len(pdf))
-        sizes = pdf["size"].to_numpy(np.int64)
-        groups = pd.factorize(pdf["group"])[0]
-        names = pdf["a"].to_numpy()
-        keys = pdf["list"].to_numpy()
+        names: list[bytes] = []
+        group_names: list[bytes] = []
+        sketches: list[bytes] = []
+        all_sizes, all_posts = [], []
+        for r in pdf.itertuples(index=False):
+            posts = np.frombuffer(r.posts, POST).copy()
+            posts["set"] += len(names)
+            all_posts.append(posts)
+            all_sizes.append(np.frombuffer(r.sizes, "<i8"))
+            names += [r.names[k : k + 16] for k in range(0, len(r.names), 16)]
+            group_names += [r.groups[k : k + 16] for k in range(0, len(r.groups), 16)]
+            ends = np.cumsum(np.frombuffer(r.lengths, "<i8")).tolist()
+            sketches += [r.sketches[x:y] for x, y in zip([0, *ends], ends)]
+        set_sizes, p = np.concatenate(all_sizes), np.concatenate(all_posts)
+        set_groups = pd.factorize(np.array(group_names, object))[0]
+        by_name = np.argsort(np.argsort(np.array(names, object)))
+        p = p[np.lexsort((by_name[p["set"]], set_sizes[p["set"]], p["key"]))]
+        sets = p["set"].astype(np.int64)
+        sizes, groups, keys = set_sizes[sets], set_groups[sets], p["key"]
+        p["set"] = np.arange(len(p))
         borders = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         out: set[tuple[bytes, bytes]] = set()
         for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
-            bits = folded(pdf["sketch"].iloc[start:end].tolist())
+            if (groups[start:end] == groups[start]).all():
+                continue  # one group already
+            bits = folded([sketches[x] for x in sets[start:end]])
             for i in range(start, end - 1):
                 j = np.arange(i + 1, start + np.searchsorted(sizes[start:end], sizes[i] * den // num, side="right"))
                 j = j[groups[j] != groups[i]]
@@ -315,7 +378,7 @@ def _across(num: int, den: int, nearest: int | None):
                 apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1).astype(np.int64)
                 fits = apart <= sizes[i] + sizes[j] - 2 * need(sizes[i], sizes[j], num, den)
                 j = j[fits][np.argsort(apart[fits], kind="stable")[:nearest]]
-                out.update((names[i], names[x]) for x in j)
+                out.update((names[sets[i]], names[sets[x]]) for x in j)
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
@@ -369,18 +432,17 @@ def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(possible("na", "sa", "nb", "sb")).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int, per_task: int = 256) -> DataFrame:
-    """The pairs of classes that reach the threshold.
-
-    A pivot meets at most about ``per_task`` members at a time, and a task gets about ``TEXTS_PER_TASK`` texts.
-    """
-    salt = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("degree") / per_task), F.lit(1))).cast("int")
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of classes that reach the threshold; a pivot's members are cut into pieces of about ``TASK_BYTES`` of text."""
     possible = stored(near(pairs, classes, num, den), "jaccard-near")
-    degrees = possible.groupBy("a").agg(F.count("*").alias("degree"))
-    dealt = stored(possible.join(degrees, "a").withColumn("salt", salt).select("a", "b", "salt"), "jaccard-pairs")
+    weighed = possible.join(classes.select(F.col("class").alias("b"), (8 * F.col("size")).alias("bytes")), "b")
+    loads = weighed.groupBy("a").agg(F.sum("bytes").alias("load"))
+    pieces = F.greatest(F.ceil(2 * F.col("load") / TASK_BYTES), F.lit(1))
+    dealt = stored(weighed.join(loads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), pieces).cast("int")).select("a", "b", "salt", "bytes"), "jaccard-pairs")
+    total = dealt.agg(F.sum("bytes")).first()[0] or 0
     roles = dealt.select(F.col("b").alias("class"), "a", "salt", F.lit(False).alias("is_pivot")).unionByName(
         dealt.select(F.col("a").alias("class"), "a", "salt", F.lit(True).alias("is_pivot")).distinct())
-    tasks = max(1, ceil(2 * dealt.count() / TEXTS_PER_TASK))
+    tasks = max(1, ceil(4 * total / TASK_BYTES))
     roles = roles.withColumn("task", F.pmod(F.xxhash64("a", "salt"), F.lit(tasks)))
     needed = roles.join(classes.select("class", F.col("_id").alias("_at"), F.col("_hash").alias("_text_hash")), "class")
     texts = docs.join(needed, (docs["_hash"] == needed["_text_hash"]) & docs["_id"].eqNullSafe(needed["_at"]))
@@ -388,25 +450,9 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den:
         _verify(num, den), "a binary, b binary")
 
 
-def groups(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """``class, group``: smallest class name reachable, by large-star and small-star until nothing changes."""
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stored(edges.select("a", "b").distinct(), "jaccard-edges")
-    before = None
-    for _ in range(rounds):
-        near = both(edges)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(
-            low.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "jaccard-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("group"))
+def groups(edges: DataFrame) -> DataFrame:
+    """``class, group``: smallest class name reachable."""
+    return components(edges, "jaccard-edges").select(F.col("node").alias("class"), F.col("least").alias("group"))
 
 
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
@@ -431,15 +477,16 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     pairs = found.filter(F.col("b").isNotNull()).select("a", "b").distinct()
     edges = stored(links(base, by_class, pairs, num, den), "jaccard-links")
     named = groups(edges)
-    lists = found.filter(F.col("b").isNull())
-    tasks = 8 * max(1, ceil(lists.count() / POSTS_PER_PART))
+    # Lists that only met their pivots, by class: joins with groups and sketches are one row a class, however many lists it is in.
+    lists = found.filter(F.col("b").isNull()).groupBy("a").agg(F.collect_list("posts").alias("posts"))
+    lists = stored(lists.join(by_class.select(F.col("class").alias("a"), "size", "sketch"), "a"), "jaccard-waiting")
+    held = F.aggregate("posts", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    tasks = 8 * max(1, ceil((lists.agg(F.sum(held)).first()[0] or 0) / WAITING.itemsize / POSTS_PER_PART))
     tested = pairs
     # First each set's nearest in other groups, which joins most groups; then whatever is still possible between different groups.
     for nearest in (NEAREST, None):
-        placed = lists.join(named, lists["a"] == named["class"], "left").select(lists["*"], F.coalesce("group", "a").alias("group"))
-        split = placed.groupBy("list").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 != g1").select("list")
-        open_posts = placed.join(split, "list", "left_semi").join(by_class.select(F.col("class").alias("a"), "sketch"), "a")
-        rest = open_posts.groupBy(F.pmod(F.xxhash64("list"), F.lit(tasks)).alias("bucket")).applyInPandas(_across(num, den, nearest), "a binary, b binary")
+        placed = lists.join(named, lists["a"] == named["class"], "left").select("a", "size", F.coalesce("group", "a").alias("group"), "sketch", "posts")
+        rest = placed.mapInArrow(_repack(tasks), PACKED).groupBy("part").applyInPandas(_across(num, den, nearest), "a binary, b binary")
         rest = stored(rest.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
             edges = edges.unionByName(stored(links(base, by_class, rest, num, den), "jaccard-links"))
@@ -463,11 +510,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: i
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("r")
     chosen = rows.filter(F.col("size") > 0).groupBy("group").agg(first).select("r._id", "r._hash").unionByName(
         rows.filter(F.col("size") == 0).select("_id", "_hash").distinct())
-    chosen = small(chosen.select(F.col("_id").alias("_kept"), F.col("_hash").alias("_kept_hash")), "jaccard-kept")
-    hashed = docs.withColumn("_row_hash", F.xxhash64(docs[text]))
-    out = hashed.join(chosen, (F.col("_row_hash") == F.col("_kept_hash")) & docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+    h = unused(docs, "_near")  # no helper column clashes with a column of docs
+    hash_of, kept, kept_hash = f"{h}_hash", f"{h}_kept", f"{h}_kept_hash"
+    chosen = small(chosen.select(F.col("_id").alias(kept), F.col("_hash").alias(kept_hash)), "jaccard-kept")
+    hashed = docs.withColumn(hash_of, F.xxhash64(docs[text]))
+    out = hashed.join(chosen, (F.col(hash_of) == F.col(kept_hash)) & docs[doc_id].eqNullSafe(F.col(kept)), "left_semi")
     again = rows.filter(F.col("size") > 0).groupBy("_id", "_hash").count().filter("count > 1")
     if not again.isEmpty():  # whole rows that repeat: the join keeps them all
-        filled = out.filter(F.col("_row_hash") != F.xxhash64(F.lit(""))).dropDuplicates([doc_id, "_row_hash"])
-        out = filled.unionByName(out.filter(F.col("_row_hash") == F.xxhash64(F.lit(""))))
-    return out.drop("_row_hash")
+        empty = F.xxhash64(F.lit(""))
+        out = out.filter(F.col(hash_of) != empty).dropDuplicates([doc_id, hash_of]).unionByName(out.filter(F.col(hash_of) == empty))
+    return out.drop(hash_of)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iotlens.llm.common import WORD_PATTERN, small
+from iotlens.llm.common import WORD_PATTERN, small, unused
 
 SEED = "mix-1"
 
@@ -75,17 +75,18 @@ def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     Only one digest per bucket, up to which documents get one more repetition, meets the texts; they aren't shuffled by id.
     """
+    h = unused(docs, "_mix")  # no helper column clashes with a column of docs
     planned = plan(docs, doc_id, text, source, seed, **settings)
     once_more = 2 * (F.col("taken") - F.col("repeats") * F.col("size")) >= F.col("size")
-    limits = small(planned.groupBy(F.col("source").alias("_source"), F.col("bucket").alias("_bucket")).agg(
-        F.max(F.when(once_more & (F.col("size") > 0), F.col("digest"))).alias("_limit"),
-        F.first("repeats").alias("_repeats"), F.first("buckets").alias("_buckets")), "mix-limits")
-    sources = small(limits.groupBy(F.col("_source").alias("_own")).agg(F.first("_buckets").alias("_n")), "mix-sources")
-    counted = docs.join(sources, docs[source].eqNullSafe(F.col("_own"))).withColumn("_digest", digest(docs[doc_id], seed))
-    counted = counted.withColumn("_place", bucket(F.col("_digest"), F.col("_n")))
-    joined = counted.join(limits, docs[source].eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_bucket")))
-    times = F.when(size_of(docs[text]) > 0, F.col("_repeats") + F.coalesce((F.col("_digest") <= F.col("_limit")).cast("long"), F.lit(0))).otherwise(0)
-    copies = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    limits = small(planned.groupBy(F.col("source").alias(f"{h}_source"), F.col("bucket").alias(f"{h}_bucket")).agg(
+        F.max(F.when(once_more & (F.col("size") > 0), F.col("digest"))).alias(f"{h}_limit"),
+        F.first("repeats").alias(f"{h}_repeats"), F.first("buckets").alias(f"{h}_buckets")), "mix-limits")
+    sources = small(limits.groupBy(F.col(f"{h}_source").alias(f"{h}_own")).agg(F.first(f"{h}_buckets").alias(f"{h}_n")), "mix-sources")
+    counted = docs.join(sources, docs[source].eqNullSafe(F.col(f"{h}_own"))).withColumn(f"{h}_digest", digest(docs[doc_id], seed))
+    counted = counted.withColumn(f"{h}_place", bucket(F.col(f"{h}_digest"), F.col(f"{h}_n")))
+    joined = counted.join(limits, docs[source].eqNullSafe(F.col(f"{h}_source")) & (F.col(f"{h}_place") == F.col(f"{h}_bucket")))
+    times = F.when(size_of(docs[text]) > 0, F.col(f"{h}_repeats") + F.coalesce((F.col(f"{h}_digest") <= F.col(f"{h}_limit")).cast("long"), F.lit(0))).otherwise(0)
+    copies = joined.withColumn(f"{h}_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return copies.select(*(docs[c] for c in docs.columns))
 
 
