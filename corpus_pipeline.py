@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iotlens.llm import bpe, jaccard, mixing, quality, toxicity
-from iotlens.llm.common import id_share, stored, table
+from iotlens.llm.common import id_share, stored, table, unused
 from iotlens.llm.queries import TOXIC_FROM
 
 
@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the cutoffs learned from labelled documents of this stage."""
     _, chosen = quality.fit(docs, table(spark, sf_dir, "labels"))
-    counted = docs.withColumn("__quality_stats", quality.stats(docs["text"]))
-    return counted.filter(quality.kept(F.col("__quality_stats"), chosen)).drop("__quality_stats")
+    helper = unused(docs, "_stats")
+    return docs.withColumn(helper, quality.stats(docs["text"])).filter(quality.kept(F.col(helper), chosen)).drop(helper)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
