@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from iotlens.functions import detail as D
 from iotlens.operators import sliding as S
-from iotlens.settings import GAP_CAP_MS, LONG_WINDOW_US, RATE_WINDOW_US, SHORT_WINDOW_US, Buckets
+from iotlens.operators.slots import Facts, slotted_sums
+from iotlens.settings import GAP_CAP_MS, LONG_WINDOW_US, RATE_WINDOW_US, SHORT_WINDOW_US, Buckets, Slots
 
 KEYS = ["protocol", "source_id"]
 OPTION_SCALE = 1_000_000
@@ -58,17 +59,23 @@ def _values() -> dict[str, Column]:
     }
 
 
-def source_state(events: DataFrame, needed: Iterable[str] = ALL, *, buckets: Buckets = Buckets()) -> DataFrame:
+def source_state(
+    events: DataFrame, needed: Iterable[str] = ALL, *, buckets: Buckets = Buckets(), slots: Slots | None = None
+) -> DataFrame:
     """Adds the requested state columns to client packets (columns of ``events`` are kept).
 
     One exchange on (protocol, source_id, bucket) for the rows; only asked-for windows
     produce expiry rows.  ``gap_ms`` / ``start_us`` also need a summary of one row per
     source and bucket, read from three columns of the same input.
+
+    With ``slots`` the work is dealt out by (protocol, source_id, slot) instead, for sources that flood a bucket; same rows.
     """
     needed = list(dict.fromkeys(needed))
     unknown = set(needed) - set(ALL)
     if unknown:
         raise ValueError(f"unknown state columns: {sorted(unknown)}")
+    if slots is not None:
+        return _slotted(events, needed, slots)
     values = _values()
     widths = {w: {n: values.get(n) for n in names if n in needed} for w, names in _WINDOWED.items()}
     widths = {w: group for w, group in widths.items() if group}
@@ -126,3 +133,22 @@ def source_state(events: DataFrame, needed: Iterable[str] = ALL, *, buckets: Buc
         gap = F.expr("(t_us - _before) div 1000L")
         out = out.withColumn("gap_ms", F.coalesce(gap, F.lit(GAP_CAP_MS).cast("long"))).drop("_before")
     return out
+
+
+def _slotted(events: DataFrame, needed: list[str], slots: Slots) -> DataFrame:
+    values = _values()
+    widths = {w: {n: values[n] for n in names if n in needed and n in values} for w, names in _WINDOWED.items()}
+    distinct = {"resources10": (F.nullif(D.resource("detail"), F.lit("")), SHORT_WINDOW_US)} if "resources10" in needed else {}
+    facts: dict[str, Facts] = {}
+    if "gap_ms" in needed:
+        facts["_seen"] = Facts(F.col("t_us"), "max")
+    if "start_us" in needed:
+        facts["_opened"] = Facts(F.when(D.is_open("event"), F.col("t_us")), "max")
+        facts["_first"] = Facts(F.col("t_us"), "min")
+    order = ["event_id"] if facts else []
+    out = slotted_sums(events, KEYS, "t_us", widths, distinct=distinct, facts=facts, order=order, slots=slots)
+    if "gap_ms" in needed:
+        out = out.withColumn("gap_ms", F.coalesce(F.expr("(t_us - _seen_before) div 1000L"), F.lit(GAP_CAP_MS).cast("long")))
+    if "start_us" in needed:
+        out = out.withColumn("start_us", F.coalesce("_opened_upto", "_first_upto"))
+    return out.drop(*[f"{n}_{end}" for n in facts for end in ("before", "upto")])

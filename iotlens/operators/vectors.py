@@ -25,6 +25,7 @@ from iotlens.settings import (
     SESSION_CAP_S,
     SIZE_STD_CAP,
     Buckets,
+    Slots,
 )
 
 
@@ -195,7 +196,7 @@ def behavioral_columns(resource: Column | None = None) -> dict[str, Column]:
 
 
 def behavioral_vector(
-    events: DataFrame, features: Sequence[str] = FEATURES, *, buckets: Buckets = Buckets()
+    events: DataFrame, features: Sequence[str] = FEATURES, *, buckets: Buckets = Buckets(), slots: Slots | None = None
 ) -> DataFrame:
     """Client packets with the asked-for behavioral features.
 
@@ -210,7 +211,7 @@ def behavioral_vector(
     elif "f03" in features and "payload_entropy" not in events.columns:
         rows = rows.withColumn("payload_entropy", F.lit(0.0))
     needed = [n for f in features for n in NEEDS.get(f, [])]
-    rows = state.source_state(rows, needed, buckets=buckets) if needed else rows
+    rows = state.source_state(rows, needed, buckets=buckets, slots=slots) if needed else rows
     # Read from the text once; four features use it.
     rows = rows.withColumn("_resource", D.resource("detail"))
     cols = behavioral_columns(F.col("_resource"))

@@ -12,7 +12,7 @@ from iotlens.operators import detect, state, vectors
 from iotlens.plans import oracle_base as B
 from iotlens.plans.registry import register
 from iotlens.schemas import FEATURES
-from iotlens.settings import Detection
+from iotlens.settings import Detection, Slots
 from iotlens.sources.fixture import incoming, packet_events
 
 r6 = N.round6
@@ -460,6 +460,18 @@ _state_query(
 )
 
 
+_ONE_SOURCE = B.WITH_STATE.replace("protocol || '-' || src AS source_id", "CASE WHEN protocol = 'mqtt' THEN 'mqtt-client' ELSE protocol || '-' || src END AS source_id")
+
+
+@register("one_source_windows", _ONE_SOURCE + "SELECT event_id, gap_ms, start_us, n1, resources10, err10, open30, n30, b30, bb30 FROM st")
+def one_source_windows(spark, sf):
+    """All MQTT clients under the one name they have by default, so that one source is half of the traffic: windows by slot."""
+    clients = _clients(spark, sf)
+    named = clients.withColumn("source_id", F.when(F.col("protocol") == "mqtt", "mqtt-client").otherwise(F.col("source_id")))
+    picked = ["gap_ms", "start_us", "n1", "resources10", "err10", "open30", "n30", "b30", "bb30"]
+    return state.source_state(named, picked, slots=Slots()).select("event_id", *picked)
+
+
 @register(
     "state_keys",
     B.WITH_EV + "SELECT protocol || ':' || source_id AS state_key, count(*) AS packets, min(t_us) AS first_us, max(t_us) AS last_us "

@@ -82,3 +82,19 @@ class Buckets:
     def __post_init__(self) -> None:
         if self.width_us < LONG_WINDOW_US:
             raise ValueError("a bucket must be at least as wide as the longest window")
+
+
+@dataclass(frozen=True)
+class Slots:
+    """Fine slots of a source's timeline, for sources that send more than one task should sort in a bucket's width.
+
+    A slot is the unit of work: a source with all rows of a minute is worked on in as many pieces as the minute has
+    slots.  Buckets of slots only keep the scan over a long timeline's slot totals in pieces too.
+    """
+
+    width_us: int = 120 * SECOND_US
+    slot_us: int = SECOND_US // 2
+
+    def __post_init__(self) -> None:
+        if not 0 < self.slot_us <= min(SHORT_WINDOW_US, self.width_us):
+            raise ValueError("a slot must be positive and no wider than the window of distinct resources or its bucket")

@@ -7,7 +7,7 @@ from iotlens.functions import detail as D
 from iotlens.functions import entropy as E
 from iotlens.operators import detect, ranks, sliding, state, vectors
 from iotlens.schemas import FEATURES
-from iotlens.settings import SECOND_US, Buckets, Detection, unit_setting
+from iotlens.settings import SECOND_US, Buckets, Detection, Slots, unit_setting
 from iotlens.sources.fixture import incoming, packet_events
 
 EVENT = "event_id long, t_us long, protocol string, source_id string, direction string, event string, bytes long, detail string"
@@ -182,6 +182,68 @@ def test_hot_source_is_split(spark):
     assert st.filter((F.col("event_id") > 0) & ((F.col("gap_ms") != 37) | (F.col("start_us") != 0))).isEmpty()
 
 
+def flood(spark, rows, gap_us):
+    """One source with all rows, and three others with a few."""
+    return spark.range(rows).select(
+        F.col("id").alias("event_id"), (F.col("id") * gap_us).alias("t_us"), F.lit("coap").alias("protocol"),
+        F.when(F.col("id") % 100 < 97, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source_id"), F.lit("incoming").alias("direction"),
+        F.when(F.col("id") % 5000 == 1, "connection_open").otherwise("traffic").alias("event"), (F.col("id") % 900).alias("bytes"),
+        F.concat(F.lit("con|get|path:/r"), (F.pow(F.col("id") % 1013, 2) % 7).cast("int").cast("string")).alias("detail"),
+    )
+
+
+def test_hot_source_has_no_large_task(spark):
+    """A flood of one source within 100 s is dealt out by slot, whatever the source."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = 100_000
+        out = state.source_state(flood(spark, rows, 1000), slots=Slots())
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sum(sizes) == rows and len(sizes) == 8 and max(sizes) < 0.3 * rows
+
+
+def test_flood_equals_plain_frames(spark):
+    ev = flood(spark, 4000, 9_000)
+    got = state.source_state(ev, slots=Slots(30 * SECOND_US, SECOND_US // 4)).drop("gap_ms", "start_us", "resources10")
+    widths = {w: {n: state._values()[n] for n in names if n != "resources10"} for w, names in state._WINDOWED.items()}
+    want = sliding.plain_sliding_sums(ev, state.KEYS, "t_us", widths).select(got.columns)
+    assert got.exceptAll(want).isEmpty() and got.count() == 4000
+
+
+def test_facts_and_distinct_values_row_by_row(spark):
+    """Previous row, session start and distinct resources of every row against a walk in plain Python."""
+    import random
+
+    rnd = random.Random(5)
+    t, rows = 0, []
+    for k in range(1500):
+        t += rnd.choice([0, 0, 1, 1000, 400_000, 3 * SECOND_US, 11 * SECOND_US, 200 * SECOND_US]) if rnd.random() < 0.7 else 20_000
+        rows.append((k, t, rnd.choice("ab"), rnd.choice(["connection_open"] + ["traffic"] * 9), f"x|topic:{rnd.choice('pqrs')}"))
+    df = spark.createDataFrame([(k, t, "mqtt", s, "incoming", e, 1, d) for k, t, s, e, d in rows], EVENT)
+    got = {r["event_id"]: r for r in state.source_state(df, ["gap_ms", "start_us", "resources10"], slots=Slots(60 * SECOND_US, SECOND_US)).collect()}
+    last, start = {}, {}
+    for k, t, s, e, _ in rows:
+        start[s] = t if e == "connection_open" else start.get(s, t)
+        seen = {d for _, u, z, _, d in rows if z == s and t - 10 * SECOND_US <= u <= t}
+        r = got[k]
+        assert (r["gap_ms"], r["start_us"], r["resources10"]) == ((t - last[s]) // 1000 if s in last else 1000, start[s], len(seen)), k
+        last[s] = t
+
+
+@pytest.mark.parametrize("slots", [Slots(), Slots(120 * SECOND_US, 10 * SECOND_US)])
+def test_slots_give_the_rows_of_buckets(spark, medium, slots):
+    ev = incoming(packet_events(spark, medium)).drop("payload")
+    pick = ["event_id", *state.ALL]
+    a = state.source_state(ev, slots=slots).select(pick)
+    b = state.source_state(ev).select(pick)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    with pytest.raises(ValueError):
+        Slots(slot_us=0)
+
+
 def test_order_statistics_against_sorting(spark):
     rows = [("a", float(v % 17) / 3) for v in range(500)] + [("b", float(v)) for v in range(7)] + [("c", 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
