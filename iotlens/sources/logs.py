@@ -146,12 +146,37 @@ def with_snapshot_defaults(df: DataFrame) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """One row; a missing file or key counts as 0."""
+    """One row, of the newest whole version if there are versions; a missing file or key counts as 0."""
+    if versions := _versions(spark, path):
+        path = f"{path}/version={versions[-1]}"
     if not _exists(spark, path):
         return with_snapshot_defaults(spark.createDataFrame([(None,) * 4], SNAPSHOT))
     return with_snapshot_defaults(spark.read.schema(SNAPSHOT).json(path, multiLine=True))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a snapshot folder that have been written to their end, oldest first."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
+def write_version(counters: DataFrame, path: str, version: int) -> None:
+    """The one-row snapshot as a new version; older ones go when it is whole.  A repeated version replaces itself."""
+    spark = counters.sparkSession
+    counters.coalesce(1).write.mode("overwrite").json(f"{path}/version={version}")
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in _versions(spark, path):
+        if old < version:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+
+
 def write_snapshot(counters: DataFrame, path: str) -> None:
     counters.coalesce(1).write.mode("overwrite").json(path)
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from iotlens.operators import counters, detect
 from iotlens.settings import Detection
+from iotlens.sources import logs
 from iotlens.streaming.state_stream import behind, release
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,12 +87,26 @@ def route_stream(
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def counter_stream(decided: DataFrame, snapshot_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Running counters; the one-row snapshot is replaced on every trigger (1 s by default)."""
-    totals = counters.traffic_counters(decided).withColumn("latency_ms_p95", F.lit(0).cast("long"))
+P95_ACCURACY = 10_000
 
-    def flush(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").json(snapshot_path)
+
+def counter_stream(decided: DataFrame, snapshot_path: str, checkpoint: str, latency: str = "latency_us", **trigger) -> StreamingQuery:
+    """Running counters and latency; the one-row snapshot gets a new version on every trigger (1 s by default).
+
+    With a column ``latency`` (micros, null where unknown) its 95th percentile in whole milliseconds is kept by a mergeable
+    quantile sketch in the state, within 1/``P95_ACCURACY`` of the rank; otherwise it is 0.  A version is written whole before
+    older ones go, so a reader (``sources.logs.read_snapshot``) always finds one.
+    """
+    columns = dict(counters.counter_columns())
+    if latency in decided.columns:
+        p95 = F.percentile_approx(F.col(latency), 0.95, P95_ACCURACY)
+        columns["latency_ms_p95"] = F.coalesce(F.floor(p95 / 1000), F.lit(0)).cast("long")
+    else:
+        columns["latency_ms_p95"] = F.lit(0).cast("long")
+    totals = decided.agg(*[c.alias(n) for n, c in columns.items()])
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        logs.write_version(batch, snapshot_path, batch_id)
 
     writer = totals.writeStream.outputMode("complete").foreachBatch(flush).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

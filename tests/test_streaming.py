@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from iotlens.operators import correlate, detect, state, vectors
 from iotlens.schemas import FEATURES
 from iotlens.sources.fixture import incoming, packet_events
+from iotlens.sources import logs
 from iotlens.streaming import flows
 from iotlens.streaming import state_stream as SS
 
@@ -84,6 +85,25 @@ def test_routing_and_counters(spark, staged, tmp_path):
     assert row["mqtt_msgs"] + row["coap_msgs"] + row["detections"] == n
 
 
+def test_snapshot_has_the_live_percentile_and_always_one_version(spark, tmp_path):
+    schema = "protocol string, allow boolean, frames int, latency_us long"
+    values = []
+    for k in range(3):  # one file a trigger
+        own = [("mqtt", j % 5 > 0, 1, None if j % 7 == 0 else 1000 * (k * 400 + j)) for j in range(400)]
+        values += [v for *_, v in own if v is not None]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flows.counter_stream(stream, str(tmp_path / "snap"), str(tmp_path / "ck"), availableNow=True).awaitTermination(120)
+    row = logs.read_snapshot(spark, str(tmp_path / "snap")).first()
+    want = sorted(values)[int(0.95 * len(values))] // 1000
+    assert abs(row["latency_ms_p95"] - want) <= 2 and row["mqtt_msgs"] + row["detections"] == 1200
+    assert logs._versions(spark, str(tmp_path / "snap")) == [2]
+    logs.write_version(spark.createDataFrame([(7,)], "mqtt_msgs long"), str(tmp_path / "snap"), 3)
+    (tmp_path / "snap" / "version=4").mkdir()  # begun, but not whole
+    assert logs.read_snapshot(spark, str(tmp_path / "snap")).first()["mqtt_msgs"] == 7
+    assert logs.read_snapshot(spark, str(tmp_path / "none")).first()["latency_ms_p95"] == 0
+
+
 def test_windowed_counts_close(spark, staged):
     path, ev = staged
     stream = flows.read_table_stream(spark, path, ev.schema, files_per_trigger=1)
