@@ -95,11 +95,11 @@ def route_responses(messages: DataFrame, bucket_us: int = HOUR_US) -> DataFrame:
     return responses.unionByName(headless)
 
 
-def response_log(responses: DataFrame) -> DataFrame:
+def response_log(responses: DataFrame, *more: str) -> DataFrame:
     """Log rows of responses: delivered ones stay outgoing, the rest are internal ``unrouted_response`` rows."""
     r = F.col("routed")
     return responses.select(
-        "event_id", "t_us", "protocol",
+        *more, "event_id", "t_us", "protocol",
         F.when(r, F.col("direction")).otherwise("internal").alias("direction"),
         F.when(r, F.col("event")).otherwise("unrouted_response").alias("event"),
         "bytes",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from iotlens.operators import correlate, decode
+from iotlens.operators import correlate, counters, decode, gateway
 from iotlens.plans import oracle_base as B
 from iotlens.plans.registry import register
+from iotlens.session import shared_dir
+from iotlens.settings import Slots
 from iotlens.sources.fixture import capture, packet_events
 
 
@@ -192,3 +196,76 @@ def request_response(spark, sf):
 )
 def response_log(spark, sf):
     return correlate.response_log(responses(spark, sf))
+
+
+# ---- from packets to the log ----------------------------------------------------------------
+
+# Size and text of every packet as its bytes have them, and the one source that MQTT clients share by default.
+_PACKET_BYTES = (
+    f"CASE WHEN protocol = 'mqtt' THEN 1 + CASE WHEN {_REMAINING} < 128 THEN 1 ELSE 2 END + {_REMAINING} "
+    f"- CASE WHEN event_type = 'error' THEN 9 ELSE 0 END "
+    "WHEN event_type = 'error' THEN 4 ELSE 14 + bytes + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 2 ELSE 0 END "
+    "+ CASE WHEN k % 5 = 2 THEN 22 WHEN k % 5 IN (0, 1) THEN 3 ELSE 0 END END"
+)
+_SENT = B.EV.replace("ev AS (", "sent AS (") + f""", ev AS (
+  SELECT * REPLACE (
+    CASE WHEN protocol = 'coap' THEN source_id WHEN event = 'connection_open' THEN 'dev-' || user_id ELSE 'mqtt-client' END AS source_id,
+    CAST({_PACKET_BYTES} AS BIGINT) AS bytes,
+    CASE WHEN protocol = 'coap' THEN regexp_replace(detail, 'optcount:[0-9]+', 'optcount:' || {_OPTIONS}) ELSE detail END AS detail)
+  FROM sent)"""
+_DECIDED = B.WITH_SCORED.replace(B.EV, _SENT)
+_ANSWERED = _DECIDED + """,
+msgs AS (
+  SELECT event_id, t_us, source_id, direction, event, bytes, detail, mid FROM sc WHERE protocol = 'coap' AND allow
+  UNION ALL SELECT event_id, t_us, source_id, direction, event, bytes, detail, mid FROM ev WHERE protocol = 'coap' AND direction = 'outgoing'),
+prev AS (
+  SELECT *, lag(direction) OVER w AS prev_direction, lag(source_id) OVER w AS prev_source, lag(t_us) OVER w AS prev_us, lag(event_id) OVER w AS prev_id
+  FROM msgs WINDOW w AS (PARTITION BY mid ORDER BY t_us, event_id)),
+resp AS (SELECT *, coalesce(prev_direction = 'incoming', false) AS routed FROM prev WHERE direction = 'outgoing')
+"""
+
+
+def _decided(spark, sf, write=True):
+    """Decisions over the binary capture; all MQTT packets are one source, so its windows go by slot.  Written once for their readers."""
+    packets = capture(spark, sf)
+    rows = gateway.decided_packets(packets, slots=Slots())
+    if write:
+        folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        rows = spark.read.schema(rows.schema).parquet(folder)
+    return packets, rows
+
+
+@register(
+    "capture_to_log",
+    _ANSWERED + "SELECT event_id, t_us, protocol, source_id, CASE WHEN allow THEN direction ELSE 'mitigation' END AS direction, "
+    "CASE WHEN allow THEN event ELSE action END AS event, bytes, CASE WHEN allow THEN detail ELSE reason END AS detail FROM sc "
+    "UNION ALL SELECT event_id, t_us, protocol, source_id, direction, event, bytes, detail FROM ev WHERE protocol = 'mqtt' AND direction = 'outgoing' "
+    "UNION ALL SELECT event_id, t_us, 'coap', CASE WHEN routed THEN prev_source END, CASE WHEN routed THEN direction ELSE 'internal' END, "
+    "CASE WHEN routed THEN event ELSE 'unrouted_response' END, bytes, CASE WHEN routed THEN detail ELSE 'missing message-id mapping' END FROM resp",
+)
+def capture_to_log(spark, sf):
+    """Binary packets to the whole log: decode, windows, decision, matching of allowed requests."""
+    return gateway.packet_log(*_decided(spark, sf))
+
+
+@register(
+    "allowed_request_response",
+    _ANSWERED + "SELECT event_id, mid, routed, CASE WHEN routed THEN prev_source END AS endpoint, CASE WHEN routed THEN prev_id END AS request_id, "
+    "CASE WHEN routed THEN t_us - prev_us END AS latency_us FROM resp",
+)
+def allowed_request_response(spark, sf):
+    """Responses by message id where denied requests never enter the map."""
+    out = gateway.responses(*_decided(spark, sf))
+    return out.select("event_id", F.col("mid").cast("int").alias("mid"), "routed", "endpoint", "request_id", "latency_us")
+
+
+@register(
+    "capture_counters",
+    _DECIDED + "SELECT CAST(coalesce(sum(CASE WHEN allow AND protocol = 'mqtt' AND event_type <> 'error' THEN 1 ELSE 0 END), 0) AS BIGINT) AS mqtt_msgs, "
+    "CAST(coalesce(sum(CASE WHEN allow AND protocol = 'coap' THEN 1 ELSE 0 END), 0) AS BIGINT) AS coap_msgs, "
+    "CAST(coalesce(sum(CASE WHEN allow THEN 0 ELSE 1 END), 0) AS BIGINT) AS detections FROM sc",
+)
+def capture_counters(spark, sf):
+    """Complete frames of allowed MQTT packets, allowed CoAP packets and denied packets, from the bytes."""
+    return counters.traffic_counters(_decided(spark, sf, write=False)[1])
