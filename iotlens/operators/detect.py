@@ -79,10 +79,10 @@ def evaluate(vectors: DataFrame, settings: Detection = Detection(), model_score:
     return decide(scored, settings)
 
 
-def route(decided: DataFrame) -> DataFrame:
+def route(decided: DataFrame, *more: str) -> DataFrame:
     """One log of both outcomes: allowed rows as they are, denied rows as mitigation rows.
 
-    A single pass; filter on ``direction`` for either part.
+    A single pass; filter on ``direction`` for either part.  Columns named in ``more`` are carried along.
     """
     allowed = F.col("allow")
     return decided.select(
@@ -90,7 +90,7 @@ def route(decided: DataFrame) -> DataFrame:
         F.when(allowed, F.col("direction")).otherwise("mitigation").alias("direction"),
         F.when(allowed, F.col("event")).otherwise(F.col("action")).alias("event"),
         "bytes",
-        F.when(allowed, F.col("detail")).otherwise(F.col("reason")).alias("detail"),
+        F.when(allowed, F.col("detail")).otherwise(F.col("reason")).alias("detail"), *more,
     )
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from iotlens.operators import counters, detect
+from iotlens.operators import counters, decode, detect
 from iotlens.settings import Detection
 from iotlens.sources import logs
-from iotlens.streaming.state_stream import behind, release
+from iotlens.streaming.state_stream import behind, features_and_late, release
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -247,3 +247,108 @@ def response_stream(
     loose = columns.filter(F.col("mid").isNull() & (F.col("direction") != "incoming"))
     loose = loose.select("mid", "event_id", "t_us", F.lit(False).alias("routed"), *nothing, F.lit(False).alias("late"))
     return matched.unionByName(loose)
+
+
+# ---- packets to log -------------------------------------------------------------------------
+
+LOG = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("t_us", T.LongType()),
+        T.StructField("protocol", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("direction", T.StringType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("detail", T.StringType()),
+    ]
+)
+# Rows without part in the matching are spread over so many keys.
+SPREAD = 4096
+
+
+class ResponseLog(StatefulProcessor):
+    """Log rows of one message id: allowed requests as they are, responses as delivered or unrouted.
+
+    The unanswered request is kept; an old one expires with the state's time to live.  Keys of a part above 0 only pass rows on.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        if self.ttl_ms:
+            self.asked = handle.getValueState("asked", ASKED, ttlDurationMs=self.ttl_ms)
+            self.last = handle.getValueState("last", LAST, ttlDurationMs=self.ttl_ms)
+        else:
+            self.asked = handle.getValueState("asked", ASKED)
+            self.last = handle.getValueState("last", LAST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = LOG.fieldNames()
+        if key[1]:
+            for batch in rows:
+                yield batch[names]
+            return
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"], ignore_index=True)
+        if self.last.exists():
+            late = behind(rows, tuple(self.last.get()), 0)
+            if late.any():
+                yield self._answers(rows[late], None)
+            rows = rows[~late].reset_index(drop=True)
+        if not len(rows):
+            return
+        self.last.update((int(rows["t_us"].iloc[-1]), int(rows["event_id"].iloc[-1])))
+        pending = tuple(self.asked.get()) if self.asked.exists() else None
+        out, left = match_in_order(rows.assign(mid=key[0]), pending)
+        if left is not None:
+            self.asked.update(left)
+        elif pending is not None:
+            self.asked.clear()
+        yield self._answers(rows, out)
+
+    def _answers(self, rows: pd.DataFrame, out: pd.DataFrame | None) -> pd.DataFrame:
+        """Requests as they are; responses by what they were matched with (``out``, by row; none: not matched)."""
+        log = rows[LOG.fieldNames()].copy()
+        answers = log["direction"].ne("incoming")
+        lost = answers if out is None else answers & ~out["routed"].reindex(log.index, fill_value=False)
+        log.loc[answers, "source_id"] = None if out is None else out["endpoint"].reindex(log.index[answers])
+        log.loc[lost, ["direction", "event", "detail"]] = ["internal", "unrouted_response", "missing message-id mapping"]
+        log.loc[lost, "source_id"] = None
+        return log
+
+    def close(self) -> None:
+        pass
+
+
+def packet_log_stream(capture: DataFrame, settings: Detection = Detection(), ttl_ms: int | None = None) -> DataFrame:
+    """Stream form of ``operators.gateway.packet_log``: windows per source, decision, matching per message id, chained in one query.
+
+    Packets must come in time order per source and message id from trigger to trigger (inside a trigger any order will do).  A client
+    packet behind its source has no windows and so no decision: it is logged as ``internal``, ``late_packet`` and goes no further.  A
+    response behind its id is unrouted.
+    """
+    is_coap, client = F.col("protocol") == "coap", F.col("direction") == "incoming"
+    coap = decode.coap_decode(capture.filter(is_coap))
+    packets = decode.mqtt_decode(capture.filter(~is_coap)).unionByName(coap, allowMissingColumns=True).drop("payload")
+    seen = detect.evaluate(features_and_late(packets.filter(client)), settings)
+    late = F.col("late")
+    for name, text in {"direction": "internal", "event": "late_packet", "detail": "behind newer packets of its source"}.items():
+        seen = seen.withColumn(name, F.when(late, text).otherwise(F.col(name)))
+    seen = seen.withColumns({"asks": ~late & F.col("allow") & is_coap, "allow": late | F.col("allow")})
+    passed = ["mid", "asks"]
+    decided = detect.route(seen, *passed)
+    answers = packets.filter(~client).withColumn("asks", is_coap).select(*LOG.fieldNames(), F.col("mid").cast("long").alias("mid"), "asks")
+    rows = decided.unionByName(answers)
+    unknown = F.col("asks") & F.col("mid").isNull() & (F.col("direction") == "outgoing")
+    for name, text in {"event": "unrouted_response", "detail": "missing message-id mapping", "source_id": None, "direction": "internal"}.items():
+        rows = rows.withColumn(name, F.when(unknown, text).otherwise(F.col(name)))
+    matched = F.col("asks") & F.col("mid").isNotNull()
+    rows = rows.select(
+        *LOG.fieldNames(),
+        F.when(matched, F.col("mid")).otherwise(-1).alias("mid"),
+        F.when(matched, 0).otherwise(1 + F.pmod(F.xxhash64("event_id"), F.lit(SPREAD))).cast("int").alias("part"),
+    )
+    return rows.groupBy("mid", "part").transformWithStateInPandas(
+        ResponseLog(ttl_ms), LOG, outputMode="append", timeMode="processingTime" if ttl_ms else "none"
+    )

@@ -27,7 +27,7 @@ from iotlens.settings import GAP_CAP_MS, LONG_WINDOW_US, RATE_WINDOW_US, SHORT_W
 
 # Facts of one row that windows need, taken from its text on the JVM side.
 FLAGS = ["err10", "hs10", "con10", "non10", "ack10", "rst10", "opt10", "open30", "breadth30", "b30", "bb30"]
-PASSED = ["event_id", "t_us", "direction", "event", "bytes", "detail", "payload_entropy"]
+PASSED = ["event_id", "t_us", "direction", "event", "bytes", "detail", "payload_entropy", "mid"]
 WIDTHS = {
     "n1": RATE_WINDOW_US,
     **dict.fromkeys(["n10", "err10", "hs10", "con10", "non10", "ack10", "rst10", "opt10"], SHORT_WINDOW_US),
@@ -54,6 +54,7 @@ OUTPUT = T.StructType(
         T.StructField("bytes", T.LongType()),
         T.StructField("detail", T.StringType()),
         T.StructField("payload_entropy", T.DoubleType()),
+        T.StructField("mid", T.LongType()),
         T.StructField("late", T.BooleanType()),
     ]
     + [T.StructField(n, T.LongType()) for n in state.ALL]
@@ -190,7 +191,8 @@ def with_facts(events: DataFrame) -> DataFrame:
         df = df.withColumn("payload_entropy", E.byte_entropy("payload")).drop("payload")
     elif "payload_entropy" not in df.columns:
         df = df.withColumn("payload_entropy", F.lit(0.0))
-    return df.select(
+    mid = F.col("mid") if "mid" in df.columns else F.lit(None)
+    return df.withColumn("mid", mid.cast("long")).select(
         "protocol", "source_id", *PASSED,
         F.nullif(D.resource("detail"), F.lit("")).alias("resource"),
         *[values[n].cast("long").alias(n) for n in FLAGS],
