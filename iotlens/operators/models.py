@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,7 +17,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from iotlens.operators import evaluate
 from iotlens.schemas import FEATURE_SETS, FEATURES
 
 SEED = 42
+# Boosting runs thousands of small jobs over the same rows: a task gets so many rows, so jobs over few rows have few tasks.
+ROWS_PER_TASK = 25_000
 
 
 def label_indexer() -> StringIndexer:
@@ -97,7 +101,8 @@ def fit(rows: DataFrame, model: str, features: Sequence[str] = FEATURES, builder
     stages = (builder or BUILDERS[model])(features, len(names) + 1)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names, "unknown"])
     # Learners read the rows many times; lost blocks are recomputed from the input.
-    kept = weighted(rows).select("label", "weight", *features).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = weighted(rows).select("label", "weight", *features)
+    kept = kept.repartition(max(1, math.ceil(rows.count() / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[indexer, *stages, back]).fit(kept)
     finally:
@@ -116,10 +121,11 @@ def experiment(
     folds: int = 5,
     splits: Sequence[str] = ("grouped_cv", *evaluate.CROSS_SPLITS),
     builders=None,
+    parallel: int = 5,
 ) -> DataFrame:
     """Predictions of every (feature set, model, split).
 
-    The loop runs over a small grid; each fit and prediction is a distributed job.  A
+    The grid is small; each fit and prediction is a distributed job, and ``parallel`` fits run at a time.  A
     cross-protocol split without rows on either side is left out.
     """
     builders = builders or BUILDERS
@@ -130,13 +136,17 @@ def experiment(
     # One row per fold and protocol tells which splits have rows on both sides.
     present = foldable.select("fold", "protocol").distinct().collect()
     used_folds, protocols = {r["fold"] for r in present}, {r["protocol"] for r in present}
-    parts: list[DataFrame] = []
+    cells: list[tuple] = []
 
-    def add(train: DataFrame, test: DataFrame, fs: str, model: str, split: str, fold: int | None) -> None:
+    def add(*cell) -> None:
+        cells.append(cell)
+
+    def run(cell) -> DataFrame:
+        train, test, fs, model, split, fold = cell
         fitted = fit(train, model, FEATURE_SETS[fs], builders[model])
         tags = {"feature_set": fs, "model": model, "split": split}
         out = predict(fitted, test).withColumns({k: F.lit(v) for k, v in tags.items()})
-        parts.append(out.withColumn("fold", F.lit(fold).cast("int")))
+        return out.withColumn("fold", F.lit(fold).cast("int"))
 
     for fs in feature_sets:
         for model in models:
@@ -147,6 +157,8 @@ def experiment(
                 elif {"mqtt", "coap"} <= protocols:
                     train, test = evaluate.cross_split(rows, split)
                     add(train, test, fs, model, split, None)
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(run), cells))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
