@@ -10,14 +10,14 @@ notices, adverts, forms, scripts, styles, reader comments, named by tag, role, c
 space in page order; white space inside a block becomes one space; character references are decoded.
 
 Null and empty pages, and pages without a positive run, give the empty text.  Unclosed elements end where a content element or
-the body ends.  Pages are read whole, one by one; repeated pages get equal texts.
+the body ends.  Pages are read whole, one by one, in time linear in their length whatever their markup; repeated pages get equal texts.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -42,11 +42,12 @@ _BAD_NAME = re.compile(
     r"newsletter|subscribe|sidebar|side|widget|related|recommend\w*|share|sharing|social|menu|nav\w*|breadcrumbs?|footer|header|masthead|copyright|login|search|pagination|pager|tags?)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_ITEM = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
-    r"|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quote opens a value only after "=", so values without quotes may hold one; possessive parts never go back.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>")
+_BEGINS_TAG = re.compile(r"</?[A-Za-z]")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 
 
 @dataclass
@@ -73,7 +74,9 @@ def never(name: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes:
         return False
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):  # the first of equal names counts
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if found.get("role", "").lower() in _BAD_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
     if name in ("body", "html", "p") or re.fullmatch("h[1-6]", name):
@@ -82,48 +85,108 @@ def never(name: str, attributes: str, inside: bool) -> bool:
     return bool(_BAD_NAME.search(named)) and not (name in CONTENT and "comment" not in named.lower())
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, text or name, attributes)`` in one forward scan: kind is ``text``, ``open``, ``close`` or ``raw`` (nothing to read).
+
+    Comments, declarations and raw elements without an end run to the end of the page, as does a tag without ``>``.  Once quotes of a
+    tag run over the end, tags end at their next ``>``.
+    """
+    at, quotes = 0, True
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin != at:
+            yield "text", page[at:] if begin < 0 else page[at:begin], ""
+        if begin < 0:
+            return
+        if page.startswith(("<!", "<?"), begin):
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->", begin + 2) + 3 if comment else page.find(">", begin) + 1
+            yield "raw", "", ""
+            at = end if end > begin + 1 else len(page)
+            continue
+        tag = (_TAG if quotes else _PLAIN_TAG).match(page, begin)
+        if tag is None and not _BEGINS_TAG.match(page, begin):
+            yield "text", "<", ""
+            at = begin + 1
+            continue
+        if tag is None and quotes:
+            quotes, tag = False, _PLAIN_TAG.match(page, begin)
+        if tag is None:
+            yield "raw", "", ""
+            return
+        at, name = tag.end(), tag[2].lower()
+        if not tag[1] and name in _RAW_END and not (name == "svg" and tag[3].endswith("/")):
+            end = _RAW_END[name].search(page, at)
+            yield "raw", "", ""
+            at = end.end() if end else len(page)
+        else:
+            yield "close" if tag[1] else "open", name, tag[3]
+
+
+class _Open:
+    """Open elements, with a count per name so that a closing tag without a partner costs nothing."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: dict[str, int] = defaultdict(int)
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.count[name] -= 1
+        return name
+
+    def close(self, name: str) -> bool:
+        """Closes up to and with the innermost element of the name, if there is one."""
+        if not self.count[name]:
+            return False
+        while self.pop() != name:
+            pass
+        return True
+
+    def clear(self) -> None:
+        self.names.clear()
+        self.count.clear()
+
+
+_ENDS_P = ("p", "b", "i", "em", "strong", "span", "a")
+
+
 def items(page: str | None) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """``(kind, name, text, left out, inside content)``: kind is ``tag`` or ``text``; a text's name is its element."""
-    stack: list[str] = []
-    skipping: list[str] = []  # open elements since the outermost one that is left out
-    inside = 0
-    for m in _ITEM.finditer(page or ""):
-        if m[5] is not None:
-            yield "text", stack[-1] if stack else "", m[5], bool(skipping), inside > 0
-        elif m[3]:
-            name = m[3].lower()
-            if m[2]:
-                if skipping and name in skipping:
-                    while skipping.pop() != name:
-                        pass
-                elif skipping and name in ("body", "html", *CONTENT):
-                    skipping.clear()
-                if name in stack:
-                    while True:
-                        gone = stack.pop()
-                        inside -= gone in CONTENT
-                        if gone == name:
-                            break
-                yield "tag", "/" + name, "", bool(skipping), inside > 0
-            else:
-                bad = never(name, m[4], inside > 0)
-                if skipping and name in CONTENT and not bad and not inside:
-                    skipping.clear()  # an unclosed element before the content
-                void = name in VOID or m[4].endswith("/")
-                if skipping or bad:
-                    if not void:
-                        skipping.append(name)
-                if not void:
-                    if name == "p" and stack and stack[-1] in ("p", "b", "i", "em", "strong", "span", "a"):
-                        while stack and stack[-1] in ("p", "b", "i", "em", "strong", "span", "a"):
-                            stack.pop()
-                    elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1] == name:
+    """``(kind, name, text, left out, inside content)``: kind is ``tag``, ``text`` or ``raw``; a text's name is its element."""
+    stack, skipping = _Open(), _Open()  # skipping: open elements since the outermost one that is left out
+
+    def inside() -> bool:
+        return stack.count["article"] > 0 or stack.count["main"] > 0
+
+    for kind, name, attributes in tokens(page or ""):
+        if kind == "text":
+            yield "text", stack.names[-1] if stack.names else "", name, bool(skipping.names), inside()
+        elif kind == "close":
+            if skipping.names and not skipping.close(name) and name in ("body", "html", *CONTENT):
+                skipping.clear()
+            stack.close(name)
+            yield "tag", "/" + name, "", bool(skipping.names), inside()
+        elif kind == "open":
+            bad = never(name, attributes, inside())
+            if skipping.names and name in CONTENT and not bad and not inside():
+                skipping.clear()  # an unclosed element before the content
+            void = name in VOID or attributes.endswith("/")
+            if (skipping.names or bad) and not void:
+                skipping.push(name)
+            if not void:
+                if name == "p" and stack.names and stack.names[-1] in _ENDS_P:
+                    while stack.names and stack.names[-1] in _ENDS_P:
                         stack.pop()
-                    stack.append(name)
-                    inside += name in CONTENT
-                yield "tag", name, "", bool(skipping), inside > 0
+                elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack.names and stack.names[-1] == name:
+                    stack.pop()
+                stack.push(name)
+            yield "tag", name, "", bool(skipping.names), inside()
         else:
-            yield "raw", "", "", True, inside > 0
+            yield "raw", "", "", True, inside()
 
 
 def main_text(page: str | None, weights: Weights) -> str:
