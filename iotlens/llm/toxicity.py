@@ -2,9 +2,10 @@
 
 1. *Voters.*  Words, and word beginnings met once, twice or three times, that mark toxic texts are counted over a bounded
    sample of labelled rows; a greedy cover picks the lexicon voters.  Pattern voters (shouting, symbols, repetition) join them.
-2. *Label model.*  A generative two-class model explains the votes.  EM estimates each voter's rate of
-   voting in either class and the class posterior of each row; the given label is one more, noisy voter.
-   Voters that still agree given the class share their evidence, in proportion to that correlation.
+2. *Label model.*  A generative two-class model explains the votes: how many a text draws, which voters cast them, and how far
+   voters agree beyond their class.  EM estimates the voters' rates in either class, their residual correlations and the class
+   posterior of each row.  The given label starts EM and is one more voter of limited trust, so clear votes overrule it.
+   Correlated voters share their evidence.
 3. *Classifier.*  Logistic regression on the votes, fitted to the posterior labels.
 
 Voters see windows of ``WINDOW`` to twice as many words, so a text's length alone brings no votes: fitting counts each window of a
@@ -34,6 +35,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
 TIMES = (1, 2, 3)
 WINDOW = 500
+MOST_VOTES = 20
 PATTERNS = ("shouting", "exclaims", "symbols", "repeats")
 
 
@@ -143,32 +145,41 @@ def _cover(present: np.ndarray, label: np.ndarray, limit: int, least: int, cost:
     return chosen
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, voting rates per class (voters x 2), residual correlations, and shares of evidence.
+def label_model(votes: np.ndarray, label: np.ndarray, trust: float = 0.8, cut: float = 0.2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row, rates per class (voters and then the label, x 2), residual correlations, and shares of evidence.
 
-    The last voter is the given label.  EM starts from the labels; voters' log odds count by their share
-    ``1 / (1 + sum of positive residual correlations)``, estimated anew in every round.
+    A text of either class draws how many independent votes it gets, and then which voters cast them; a voter that stays silent
+    says nothing by itself.  What two voters' votes have in common beyond their class is a residual correlation; above
+    ``cut`` it is shared evidence, and each voter's vote counts ``1 / (1 + sum of its correlations beyond the cut)``.
+    The given label starts EM and so tells the classes apart; after that it is a voter whose accuracy counts as at most
+    ``trust`` (0.8: log odds of 1.4), so clear votes overrule it.
     """
-    v = np.column_stack([votes, label]).astype(float)
-    post = np.where(label, 0.95, 0.05)
-    share = np.ones(v.shape[1])
+    v, n = votes.astype(float), max(1, len(votes))
+    given = label.astype(bool)
+    post = np.where(given, 0.95, 0.05)
     for _ in range(rounds):
-        mass = np.array([(1 - post).sum(), post.sum()])
-        rate = np.column_stack([v.T @ (1 - post), v.T @ post])
-        rate = (rate + [0.05, 0.05]) / (mass + 0.1)
-        rate[-1] = np.clip(rate[-1], 0.001, 0.999)
-        expected = np.outer(1 - post, rate[:, 0]) + np.outer(post, rate[:, 1])
-        rest = v - expected
-        cov = rest.T @ rest / max(1, len(v))
+        classes = (1 - post, post)
+        mass = np.array([m.sum() for m in classes])
+        rate = np.column_stack([(m @ v + 0.05) / (m.sum() + 0.1) for m in classes])
+        rest = v - np.outer(classes[0], rate[:, 0]) - np.outer(classes[1], rate[:, 1])
+        cov = rest.T @ rest / n
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.maximum(corr - 0.1, 0).sum(1))
-        on = np.log(rate[:, 1] / rate[:, 0]) * share
-        off = np.log((1 - rate[:, 1]) / (1 - rate[:, 0])) * share
-        logit = np.log(mass[1] / mass[0]) + v @ on + (1 - v) @ off
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rate, corr, share
+        share = 1 / (1 + np.maximum(corr - cut, 0).sum(1))
+        many = np.minimum(np.round(v @ share), MOST_VOTES).astype(int)
+        drawn = np.column_stack([(np.bincount(many, m, MOST_VOTES + 1) + 0.5) / (m.sum() + 0.5 * (MOST_VOTES + 1)) for m in classes])
+        picked = rate / (share @ rate)
+        marked = np.array([(m @ given + 0.05) / (m.sum() + 0.1) for m in classes])
+        held = np.clip(marked, [1 - trust, 1 - trust], [trust, trust])
+        logit = np.log((mass[1] + 0.05) / (mass[0] + 0.05)) + v @ (share * np.log(picked[:, 1] / picked[:, 0]))
+        logit += np.log(drawn[:, 1] / drawn[:, 0])[many]
+        logit += np.where(given, np.log(held[1] / held[0]), np.log((1 - held[1]) / (1 - held[0])))
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-6:
+            break
+    return post, np.vstack([rate, marked]), corr, share
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.03, rounds: int = 40) -> tuple[np.ndarray, float]:
