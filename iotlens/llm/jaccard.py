@@ -370,15 +370,19 @@ def _across(num: int, den: int, nearest: int | None):
         for start, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
             if (groups[start:end] == groups[start]).all():
                 continue  # one group already
+            own, most = groups[start:end], np.bincount(groups[start:end]).argmax()
             bits = folded([sketches[x] for x in sets[start:end]])
-            for i in range(start, end - 1):
-                j = np.arange(i + 1, start + np.searchsorted(sizes[start:end], sizes[i] * den // num, side="right"))
-                j = j[groups[j] != groups[i]]
+            # The largest group's sets are only met by the others: each of these looks at smaller and larger ones of that group.
+            for i in (start + np.flatnonzero(own != most)).tolist():
+                low = start + np.searchsorted(sizes[start:end], -(-sizes[i] * num // den), side="left")
+                high = start + np.searchsorted(sizes[start:end], sizes[i] * den // num, side="right")
+                j = np.arange(low, high)
+                j = j[(groups[j] == most) | ((j > i) & (groups[j] != groups[i]))]
                 j = j[_possible(np.full(len(j), i), j, p, sizes, num, den)]
                 apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(1).astype(np.int64)
                 fits = apart <= sizes[i] + sizes[j] - 2 * need(sizes[i], sizes[j], num, den)
                 j = j[fits][np.argsort(apart[fits], kind="stable")[:nearest]]
-                out.update((names[sets[i]], names[sets[x]]) for x in j)
+                out.update((names[sets[min(i, x)]], names[sets[max(i, x)]]) for x in j.tolist())
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
