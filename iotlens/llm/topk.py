@@ -13,7 +13,8 @@ query, and a windowed rank keeps the best.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids.  Vectors of different lengths are
 compared on their common components, the rest being zero.  Ties go to the smaller id; repeated ids are separate rows.  A
-query doesn't meet rows of its own id.  Scores are exact while they fit a long.
+query doesn't meet rows of its own id.  Scores are exact: where the largest components, multiplied and summed over all dimensions, leave
+a long (from 2^63 on), the search raises ``OverflowError`` and gives no wrapped ranks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 2048
 QUERY_ROWS = 2048
 EXACT = float(1 << 53)
+LONGEST = float(1 << 63)
 
 
 def integers(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -91,6 +93,17 @@ class Index:
         return at_q[best], at_v[best], scores[best]
 
 
+def _all_scored(q: np.ndarray, v: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``Index.search`` beyond exact doubles: each query in turn meets all vectors in whole numbers."""
+    at_q, at_v, best = [], [], []
+    for i in range(len(q)):
+        scores = v @ q[i]
+        others = np.flatnonzero(ids != own[i])
+        first = others[np.lexsort((ids[others], -scores[others]))[:k]]
+        at_q.append(np.full(len(first), i)), at_v.append(first), best.append(scores[first])
+    return np.concatenate(at_q), np.concatenate(at_v), np.concatenate(best)
+
+
 def _meet(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(vectors):
@@ -101,13 +114,10 @@ def _meet(k: int):
         largest = float(np.abs(q).max()) * float(np.abs(v).max()) * width
         if largest < EXACT:
             a, b, scores = Index(v).search(q, own, ids, k)
-        else:  # beyond exact doubles every pair is scored in integers
-            a, b = np.nonzero(own[:, None] != ids[None, :])
-            scores = _exact(q[a], v[b])
-            order = np.lexsort((ids[b], -scores, a))
-            a, b, scores = a[order], b[order], scores[order]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-            a, b, scores = a[keep], b[keep], scores[keep]
+        elif largest < LONGEST:
+            a, b, scores = _all_scored(q, v, own, ids, k)
+        else:
+            raise OverflowError(f"inner products of these vectors may reach {largest:.3g}, beyond a long")
         return pd.DataFrame({"query_id": own[a], "vec_id": ids[b], "score": scores})
 
     return run
