@@ -14,8 +14,11 @@ CROSS_SPLITS = {"cross_mqtt_to_coap": ("mqtt", "coap"), "cross_coap_to_mqtt": ("
 
 def class_weights(rows: DataFrame) -> DataFrame:
     """Balanced weight ``n / (k count)`` per label."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    # One row per label.
+    return balanced_weights(rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def balanced_weights(counts: DataFrame) -> DataFrame:
+    """The weights from a table of one row per label with its number of ``rows``."""
     every = Window.partitionBy(F.lit(1))
     weight = F.sum("rows").over(every) / (F.count(F.lit(1)).over(every) * F.col("rows"))
     return counts.select("label", "rows", weight.alias("weight"))

@@ -27,6 +27,8 @@ from iotlens.schemas import FEATURE_SETS, FEATURES
 SEED = 42
 # Boosting runs thousands of small jobs over the same rows: a task gets so many rows, so jobs over few rows have few tasks.
 ROWS_PER_TASK = 25_000
+# Learners that draw rows at random get equal rows one by one up to so many, and beyond in at least so many pieces of at most so many rows.
+LEAST_PIECES, ROWS_PER_PIECE = 16, 64
 
 
 def label_indexer() -> StringIndexer:
@@ -94,19 +96,84 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.join(evaluate.class_weights(rows).select("label", "weight"), "label")
 
 
+def counted(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row per label and vector, with its number of rows ``n`` and their balanced class weights' sum ``weight``."""
+    counts = rows.groupBy("label", *features).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("label").agg(F.sum("n").alias("rows"))
+    balanced = evaluate.balanced_weights(totals).select("label", F.col("weight").alias("_each"))
+    return counts.join(balanced, "label").withColumn("weight", F.col("_each") * F.col("n"))
+
+
+def in_pieces(counts: DataFrame) -> DataFrame:
+    """Equal rows in pieces, so that random draws take parts of them and a leaf's least number of rows still counts."""
+    pieces = F.greatest(F.least(F.col("n"), F.lit(LEAST_PIECES)), F.ceil(F.col("n") / ROWS_PER_PIECE))
+    rows = counts.withColumn("_pieces", pieces).withColumn("_piece", F.explode(F.sequence(F.lit(1).cast("long"), "_pieces")))
+    return rows.withColumns({c: F.col(c) / F.col("_pieces") for c in ("n", "weight")}).drop("_pieces")
+
+
+def _draws(learner) -> bool:
+    """Whether a learner (or the learner inside one-against-rest) takes random rows."""
+    inner = learner.getClassifier() if isinstance(learner, OneVsRest) else learner
+    bootstrap = inner.hasParam("bootstrap") and inner.getOrDefault("bootstrap")
+    return bootstrap or inner.hasParam("subsamplingRate") and inner.getOrDefault("subsamplingRate") < 1
+
+
+def _mergeable(learner) -> bool:
+    """Whether weights stand for equal rows: the learner has weights, and its penalty is none or that of :func:`_same_penalty`."""
+    return learner.hasParam("weightCol") and not (learner.hasParam("elasticNetParam") and learner.getOrDefault("elasticNetParam") > 0)
+
+
+def _same_penalty(learner, table: DataFrame):
+    """The learner with the penalty that it would have over single rows.
+
+    Spark scales the penalty by variances with the divisor ``W - (sum of squared weights) / W``, which knows only whole weights.
+    """
+    if not (learner.hasParam("standardization") and learner.hasParam("regParam") and learner.getOrDefault("standardization")):
+        return learner
+    w = F.col(learner.getOrDefault("weightCol")).cast("double")
+    total, single, merged = table.agg(F.sum(w), F.sum(w * w / F.col("n")), F.sum(w * w)).first()
+    if not total or total * total <= merged:  # one vector: nothing varies
+        return learner
+    return learner.copy({learner.regParam: learner.getOrDefault("regParam") * (total - merged / total) / (total - single / total)})
+
+
 def fit(rows: DataFrame, model: str, features: Sequence[str] = FEATURES, builder=None) -> PipelineModel:
-    """Fits a named model; the pipeline maps predictions back to label names."""
+    """Fits a named model; the pipeline maps predictions back to label names.
+
+    Learners read the rows many times.  Those with weights read each vector of a label once, with the number and class weight
+    of its rows as weight: the same loss over fewer rows (vectors are made of flags and whole sizes with caps).  Scalers see
+    all rows.  The last stage of a builder is the learner.
+    """
     indexer = label_indexer().fit(rows)
     names = indexer.labels
-    stages = (builder or BUILDERS[model])(features, len(names) + 1)
+    *before, learner = (builder or BUILDERS[model])(features, len(names) + 1)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*names, "unknown"])
-    # Learners read the rows many times; lost blocks are recomputed from the input.
-    kept = weighted(rows).select("label", "weight", *features)
-    kept = kept.repartition(max(1, math.ceil(rows.count() / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    if not _mergeable(learner):
+        kept = weighted(rows).select("label", "weight", *features)
+        kept = kept.repartition(_tasks(rows.count())).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return Pipeline(stages=[indexer, *before, learner, back]).fit(kept)
+        finally:
+            kept.unpersist()
+    prepared = Pipeline(stages=[indexer, *before]).fit(rows.filter(F.col("label").isNotNull()).select("label", *features))
+    table = counted(rows, features).select("label", "n", "weight", *features)
+    table = in_pieces(table) if _draws(learner) else table
+    # Lost blocks are recomputed from the input; the order inside a task is fixed, as draws go by it.
+    order = ["label", *features, *(["_piece"] if _draws(learner) else [])]
+    size = table.persist(StorageLevel.MEMORY_AND_DISK).count()
+    kept = table.repartition(_tasks(size), *order).sortWithinPartitions(*order).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[indexer, *stages, back]).fit(kept)
+        if not learner.isDefined(learner.weightCol):
+            learner = learner.copy({learner.weightCol: "n"})
+        learner = _same_penalty(learner, kept)
+        return PipelineModel([*prepared.stages, learner.fit(prepared.transform(kept)), back])
     finally:
         kept.unpersist()
+        table.unpersist()
+
+
+def _tasks(rows: int) -> int:
+    return max(1, math.ceil(rows / ROWS_PER_TASK))
 
 
 def predict(fitted: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("event_id", "label")) -> DataFrame:
