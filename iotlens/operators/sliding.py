@@ -27,6 +27,17 @@ from pyspark.sql import functions as F
 from iotlens.settings import LONG_WINDOW_US, Buckets
 
 ROW, HALO, SEED = 0, 1, 2
+LEAST_TASKS = 64
+
+
+def dealt(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows exchanged by (keys, bucket) over a fixed number of tasks.
+
+    Adaptive execution would fold tasks by the compressed bytes of the exchange, but each row becomes several entries that
+    are sorted in memory after it.
+    """
+    tasks = max(LEAST_TASKS, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartition(tasks, *keys, "_b")
 
 
 def _bucket_of(t: str, width: int) -> Column:
@@ -75,7 +86,7 @@ def sliding_sums(
 ) -> DataFrame:
     """Adds, for each width in micros, the named sums over ``[t - width, t]``."""
     halo = max(widths)
-    placed = with_halo(df, t, halo, buckets).repartition(*keys, "_b")
+    placed = dealt(with_halo(df, t, halo, buckets), keys)
     return running_sums(placed, df.columns, keys, t, widths, buckets)
 
 

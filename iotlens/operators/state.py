@@ -109,7 +109,7 @@ def source_state(
             "seen": F.when(is_seed, F.col("_seen")).otherwise(F.col("t_us")),
             "since": F.when(is_seed, F.col("_since")).when(D.is_open("event"), F.col("t_us")),
         }
-    placed = placed.repartition(*KEYS, "_b")
+    placed = S.dealt(placed, KEYS)
 
     if "resources10" in needed:
         res = F.when(F.col("_kind") != S.SEED, F.nullif(D.resource("detail"), F.lit("")))
