@@ -12,6 +12,7 @@ from iotlens.functions.numeric import clamp01
 from iotlens.operators import ranks as R
 from iotlens.operators.vectors import to_long
 from iotlens.schemas import FEATURES, SHARED
+from iotlens.session import stored
 
 BINS = 20
 EPSILON = 1e-12
@@ -45,9 +46,13 @@ def summary_columns(value: str = "value") -> dict[str, Column]:
 
 
 def feature_summary(rows: DataFrame, by: Sequence[str] = (), features: Sequence[str] = FEATURES) -> DataFrame:
-    """Exact distribution summary per feature (and group), from value counts."""
+    """Exact distribution summary per feature (and group), from value counts.
+
+    The counts are written to the shared folder, so that the rows behind them are made once and not for each of their readers.
+    """
     long = to_long(rows.select(*by, *features), list(by), features)
-    return R.order_statistics(long, [*by, "feature"], "value", summary_columns())
+    counts = stored(R.value_counts(long, [*by, "feature"], "value"), "value-counts")
+    return R.statistics_of_counts(counts, [*by, "feature"], "value", summary_columns(), few_groups=True)
 
 
 def bin20(value) -> Column:

@@ -10,8 +10,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "iotlens") -> SparkSession:
@@ -68,3 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
         made = _OWN_DIRS[app] = tempfile.mkdtemp(prefix="iotlens-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
     return _OWN_DIRS[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back, for plans that read them several times."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
