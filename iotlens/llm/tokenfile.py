@@ -7,7 +7,7 @@ coders' states at its checkpoints, each with its place in the word stream, so th
 independently and in parallel; a checksum covers the payload and another the decoded ids.
 
 *Writing.*  Documents are spread by range of their id and sorted, each task tokenizes its range and packs whole documents into blocks of about
-``BLOCK`` ids.  A first pass over the packed ids counts frequencies and ids per task, a second encodes, so texts are tokenized
+``BLOCK`` ids.  The pass that packs also counts the ids of each block, a second one encodes, so texts are tokenized
 once.  Blocks of a file ascend in document id; ``part, block`` order all blocks.
 
 Null and empty texts have the end id only.  Null document ids come first.  Rows with equal ids are separate documents,
@@ -197,10 +197,15 @@ class Coder:
         return np.concatenate(parts)[:n] if parts else np.empty(0, np.uint32)
 
 
-PACKED = "part int, block int, first long, n_ids long, doc_ids array<{id}>, lens array<int>, ids binary"
+PACKED = "part int, block int, first long, n_ids long, doc_ids array<{id}>, lens array<int>, ids binary, used array<int>, counts array<int>"
 
 
-def _pack(path: str, end_id: int, block: int, id_type: pa.DataType):
+def _width(vocabulary: int) -> str:
+    """Ids between the two passes take two bytes where the vocabulary lets them."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _pack(path: str, end_id: int, block: int, id_type: pa.DataType, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -213,9 +218,14 @@ def _pack(path: str, end_id: int, block: int, id_type: pa.DataType):
 
         def out() -> pa.RecordBatch:
             nonlocal number, first, held
-            row = [[part], [number], [first], [held], [doc_ids[:]], [np.concatenate(lens)], [np.concatenate(ids).astype("<u4").tobytes()]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], ["part", "block", "first", "n_ids", "doc_ids", "lens", "ids"])
+            every = np.concatenate(ids)
+            counts = np.bincount(every)
+            used = np.flatnonzero(counts)
+            row = [[part], [number], [first], [held], [doc_ids[:]], [np.concatenate(lens)], [every.astype(width).tobytes()], [used], [counts[used]]]
+            whole = pa.list_(pa.int32())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), whole, pa.binary(), whole, whole)
+            names = ["part", "block", "first", "n_ids", "doc_ids", "lens", "ids", "used", "counts"]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names)
             number, first, held = number + 1, first + held, 0
             doc_ids.clear(), lens.clear(), ids.clear()
             return batch
@@ -241,11 +251,12 @@ def _pack(path: str, end_id: int, block: int, id_type: pa.DataType):
 
 
 def _count(size: int):
+    """Sums the counts of a task's blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
+            # An id is there once a block, and several times in a batch of blocks.
+            np.add.at(total, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -258,10 +269,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     id_type = docs.schema[doc_id].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    width = _width(vocabulary)
     named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     sorted_docs = named.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_hash").select("_id", "_text")
-    packed = stored(sorted_docs.mapInArrow(_pack(tokenizer, end_id, block, to_arrow_type(id_type)), PACKED.format(id=id_type.simpleString())), "token-ids")
-    counted = packed.select("ids").mapInArrow(_count(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    packed = stored(sorted_docs.mapInArrow(_pack(tokenizer, end_id, block, to_arrow_type(id_type), width), PACKED.format(id=id_type.simpleString())), "token-ids")
+    counted = packed.select("used", "counts").mapInArrow(_count(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counted.coalesce(1).write.parquet(f"{path}/table")  # one row per id of the vocabulary
     coder = load_coder(spark, path, vocabulary)
     # One row per task of the first pass: ids before it.
@@ -274,10 +286,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
-                ids = row.column("ids")[0].as_py()
-                payload = own.encode(np.frombuffer(ids, "<u4"))
+                ids = np.frombuffer(row.column("ids")[0].as_py(), width).astype("<u4")
+                payload = own.encode(ids)
                 kept = [row.column(c) for c in ("part", "block", "start", "n_ids", "doc_ids", "lens")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([payload], pa.binary()), pa.array([crc(ids)], pa.int64())], BLOCKS)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([payload], pa.binary()), pa.array([crc(ids.tobytes())], pa.int64())], BLOCKS)
 
     rows = placed.select("part", "block", (F.col("base") + F.col("first")).alias("start"), "n_ids", "doc_ids", "lens", "ids")
     kind = f"part int, block int, start long, n_ids long, doc_ids array<{id_type.simpleString()}>, lens array<int>, payload binary, ids_crc long"
