@@ -217,8 +217,9 @@ def source_state_stream(events: DataFrame, delay_us: int = 0, closing: DataFrame
 
 def features_and_late(events: DataFrame, delay_us: int = 0, closing: DataFrame | None = None) -> DataFrame:
     """Client packets of a stream with all behavioral features and the flag ``late``; late rows have no features."""
-    cols = vectors.behavioral_columns()
-    rows = source_state_stream(events, delay_us, closing)
+    # Read from the text once; four features use it.
+    rows = source_state_stream(events, delay_us, closing).withColumn("_resource", D.resource("detail"))
+    cols = vectors.behavioral_columns(F.col("_resource"))
     return rows.select(
         "protocol", "source_id", *PASSED, "late", *[F.when(~F.col("late"), cols[f]).alias(f) for f in FEATURES]
     )
