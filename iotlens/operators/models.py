@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from iotlens.functions.numeric import score_from_outputs
 from iotlens.operators import evaluate
+from iotlens.operators.perceptron import fit as fit_perceptron
 from iotlens.schemas import FEATURE_SETS, FEATURES
 
 SEED = 42
@@ -118,9 +119,14 @@ def _draws(learner) -> bool:
     return bootstrap or inner.hasParam("subsamplingRate") and inner.getOrDefault("subsamplingRate") < 1
 
 
+def _perceptron(learner) -> bool:
+    """Whether a learner is the perceptron as :mod:`iotlens.operators.perceptron` fits it."""
+    return isinstance(learner, MultilayerPerceptronClassifier) and learner.getSolver() == "l-bfgs"
+
+
 def _mergeable(learner) -> bool:
     """Whether weights stand for equal rows: the learner has weights, and its penalty is none or that of :func:`_same_penalty`."""
-    return learner.hasParam("weightCol") and not (learner.hasParam("elasticNetParam") and learner.getOrDefault("elasticNetParam") > 0)
+    return _perceptron(learner) or learner.hasParam("weightCol") and not (learner.hasParam("elasticNetParam") and learner.getOrDefault("elasticNetParam") > 0)
 
 
 def _same_penalty(learner, table: DataFrame):
@@ -163,6 +169,8 @@ def fit(rows: DataFrame, model: str, features: Sequence[str] = FEATURES, builder
     size = table.persist(StorageLevel.MEMORY_AND_DISK).count()
     kept = table.repartition(_tasks(size), *order).sortWithinPartitions(*order).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if _perceptron(learner):
+            return PipelineModel([*prepared.stages, fit_perceptron(learner, prepared.transform(kept), "n"), back])
         if not learner.isDefined(learner.weightCol):
             learner = learner.copy({learner.weightCol: "n"})
         learner = _same_penalty(learner, kept)
