@@ -55,7 +55,7 @@ def _pre_tokens(text: str) -> list[str]:
     return (_ANY if WIDE.search(text) else _LATIN).findall(text)
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Printable character of each byte: itself where it prints, else the next code point from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -112,7 +112,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = vocab | self.special
         size = max(names.values()) + 1

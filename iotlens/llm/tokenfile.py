@@ -16,6 +16,7 @@ ordered by a hash of their text; equal rows are interchangeable.  An empty table
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,10 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from iotlens.llm.bpe import SPACE, WIDE, Slots, Store, gather, narrow, slices
+from iotlens.llm.bpe import SPACE, WIDE, Slots, Store, byte_alphabet, gather, narrow
 from iotlens.llm.common import crc, scratch, small, stored
 
 LANES = 2048
@@ -39,16 +41,23 @@ SHIFT = np.uint64(BITS)
 MASK = np.uint64((1 << BITS) - 1)
 WORD_BITS = np.uint64(32)
 
-# The tokenizer's own pre-token pattern, here for lower-cased texts of Latin letters.
+# The tokenizer's own steps before its model, and its pre-token pattern for lower-cased words of Latin letters, one a line.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _L, _N = narrow("L"), narrow("N")
-_PRE = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{SPACE}{_L}{_N}]+")
+_PRE = re.compile(rf"[{_L}]+|\n|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{SPACE}{_L}{_N}]+")
+_BYTES = {b: c for c, b in byte_alphabet().items() if b != 0x0A}  # white space is in no pre-token
 
 
 class Tokens:
-    """The library's tokenizer; pre-tokens of Latin texts already met in the task are looked up.
+    """The library's tokenizer, its steps run once for each distinct word of a group of texts.
 
-    Pre-tokens don't depend on their neighbours and each ends in one token that closes a word, so the new ones are
-    encoded in few calls, joined by spaces.  Texts with other letters or special tokens go to the library whole.
+    No token reaches over white space, so a text's ids are those of its words between ASCII white space.  Words of Latin letters
+    are cut into pre-tokens here; those already met in the task are looked up, the library's model encodes the new ones.  Words
+    with other letters or special tokens go to the library whole.
     """
 
     def __init__(self, path: str, max_pieces: int = 500_000) -> None:
@@ -58,46 +67,82 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        spec = json.loads(self.tokenizer.to_str())
+        if (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"]) != (_NORMALIZER, _SPLITS, None):
+            raise ValueError("the tokenizer's steps before its model aren't those that are known here")
+        if any(re.search(rf"[{SPACE}]", t["content"]) or not t["content"].startswith("<|") for t in spec["added_tokens"]):
+            raise ValueError("a special token has white space or another beginning than <|")
+        self.model = self.tokenizer.model
         self.max_pieces = max_pieces
-        self.slots, self.store = Slots(), Store()
+        self._reset()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _reset(self) -> None:
+        self.slots, self.store = Slots(), Store()
+        self.slots["\n"] = 0  # the end of a word
+        self.slots.used = 1
+        self.store.add(np.empty(0, np.int32), np.zeros(1, np.int64))
 
-    def _learn(self, step: int = 2000) -> None:
+    def _learn(self) -> None:
         new, self.slots.new = self.slots.new, []
-        for k in range(0, len(new), step):
-            ids = np.array(self._ids([" ".join(new[k : k + step])])[0], np.int32)
-            ends = np.flatnonzero(self.closes[ids])
-            if len(ends) != len(new[k : k + step]):
-                raise ValueError("a pre-token was not encoded on its own")
-            self.store.add(ids, np.diff(ends, prepend=-1))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order, and how many each text has."""
+        if not new:
+            return
+        ids: list[int] = []
+        ends: list[int] = []
+        for shown in "\n".join(new).encode().decode("latin-1").translate(_BYTES).split("\n"):
+            ids += [t.id for t in self.model.tokenize(shown)]
+            ends.append(len(ids))
+        self.store.add(np.array(ids, np.int32), np.diff(ends, prepend=0))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word the start and number of its own."""
         if len(self.slots) > self.max_pieces or self.store.used > 40 * self.max_pieces:
-            self.slots, self.store = Slots(), Store()
-        whole = np.fromiter((bool(t) and ("<|" in t or WIDE.search(t) is not None) for t in texts), bool, len(texts))
-        lists = [_PRE.findall(t.lower()) if t and not w else [] for t, w in zip(texts, whole)]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        known = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+            self._reset()
+        lines, whole = "\n".join([*words, ""]), []
+        if "<|" in lines or WIDE.search(lines):
+            whole = [k for k, w in enumerate(words) if "<|" in w or WIDE.search(w)]
+            narrowed = list(words)
+            for k in whole:
+                narrowed[k] = ""
+            lines = "\n".join([*narrowed, ""])
+        pieces = _PRE.findall(lines.lower())
+        slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
-        counts[whole] = 1
-        ends = np.cumsum(counts)
-        slots = np.empty(int(counts.sum()), np.int64)
-        at = (ends - counts)[whole]
-        if len(at):
-            slots[at] = self.store.n + np.arange(len(at))
-            ids = self._ids([t for t, w in zip(texts, whole) if w])
-            self.store.add(np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.slots.used = self.store.n
-        slots[np.delete(np.arange(len(slots)), at)] = known
         sizes = self.store.lens[slots]
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        return gather(self.store.items, self.store.starts[slots], sizes), sums[ends] - sums[ends - counts]
+        ids = gather(self.store.items, self.store.starts[slots], sizes)
+        ends = np.cumsum(sizes)[slots == 0]
+        starts, lens = np.concatenate([[0], ends[:-1]]) if len(ends) else ends, np.diff(ends, prepend=0)
+        if whole:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in whole], add_special_tokens=False)]
+            lens[whole] = [len(f) for f in found]
+            starts[whole] = len(ids) + np.cumsum(lens[whole]) - lens[whole]
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.int32)])
+        return ids, starts, lens
+
+    def encode(self, texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts in order, and how many each text has, in pieces of whole texts with at least ``block`` ids, but for the last."""
+        lists = pc.ascii_split_whitespace(texts)
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        ids, starts, lens = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy()
+        ends = np.cumsum(counts)
+        sums = np.concatenate([[0], np.cumsum(lens[codes])])[np.concatenate([[0], ends])]  # ids before each text
+        first = at = 0
+        while first < len(counts):
+            last = min(int(np.searchsorted(sums, sums[first] + block)), len(counts))
+            own = codes[at : ends[last - 1]]
+            yield gather(ids, starts[own], lens[own]), np.diff(sums[first : last + 1])
+            first, at = last, int(ends[last - 1])
+
+
+def groups(texts: pa.Array, size: int = 1 << 24) -> Iterator[pa.Array]:
+    """A batch's texts in slices of at least one text and about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = at = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, at + size)))
+        yield texts.slice(first, last - first)
+        first, at = last, int(ends[last - 1])
 
 
 @lru_cache(maxsize=2)
@@ -233,12 +278,10 @@ def _pack(path: str, end_id: int, block: int, id_type: pa.DataType, width: str):
         for b in batches:
             keys = b.column(0).to_pylist()
             done = 0
-            for texts in slices(b.column(1).to_pylist(), block * 3):
-                flat, n = own.encode(texts)
-                ends = np.cumsum(n)
-                flat = np.insert(flat, ends, end_id)
-                doc_ids += keys[done : done + len(texts)]
-                done += len(texts)
+            for flat, n in chain.from_iterable(own.encode(t, block) for t in groups(b.column(1))):
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                doc_ids += keys[done : done + len(n)]
+                done += len(n)
                 lens.append((n + 1).astype(np.int32))
                 ids.append(flat)
                 held += len(flat)
