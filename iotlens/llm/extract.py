@@ -99,10 +99,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if begin < 0:
             return
         if page.startswith(("<!", "<?"), begin):
-            comment = page.startswith("<!--", begin)
-            end = page.find("-->", begin + 2) + 3 if comment else page.find(">", begin) + 1
+            mark = "-->" if page.startswith("<!--", begin) else ">"
+            end = page.find(mark, begin + 2)
             yield "raw", "", ""
-            at = end if end > begin + 1 else len(page)
+            at = len(page) if end < 0 else end + len(mark)
             continue
         tag = (_TAG if quotes else _PLAIN_TAG).match(page, begin)
         if tag is None and not _BEGINS_TAG.match(page, begin):
