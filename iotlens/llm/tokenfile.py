@@ -39,6 +39,7 @@ STRETCHES = 2
 LOW = np.uint64(1 << 31)
 SHIFT = np.uint64(BITS)
 MASK = np.uint64((1 << BITS) - 1)
+ONE, GOAL = np.uint64(1), np.uint64(1 << BITS)
 WORD_BITS = np.uint64(32)
 
 # The tokenizer's own steps before its model, and its pre-token pattern for lower-cased words of Latin letters, one a line.
@@ -81,6 +82,19 @@ class Tokens:
         self.slots["\n"] = 0  # the end of a word
         self.slots.used = 1
         self.store.add(np.empty(0, np.int32), np.zeros(1, np.int64))
+        self.met = np.zeros(1, np.int64)
+
+    def _trim(self) -> None:
+        """Keeps the half of the pre-tokens that stand in most words, so that the usual ones aren't encoded again."""
+        words, store = list(self.slots), self.store
+        best = np.argsort(-self.met[1:], kind="stable")[: self.max_pieces // 2] + 1
+        met = self.met
+        self._reset()
+        kept = np.sort(best[np.cumsum(store.lens[best]) <= 20 * self.max_pieces])
+        self.slots.update(zip(map(words.__getitem__, kept.tolist()), range(1, len(kept) + 1)))
+        self.slots.used = len(kept) + 1
+        self.store.add(gather(store.items, store.starts[kept], store.lens[kept]), store.lens[kept])
+        self.met = np.concatenate([[0], met[kept] // 2])
 
     def _learn(self) -> None:
         new, self.slots.new = self.slots.new, []
@@ -96,7 +110,7 @@ class Tokens:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each word the start and number of its own."""
         if len(self.slots) > self.max_pieces or self.store.used > 40 * self.max_pieces:
-            self._reset()
+            self._trim()
         lines, whole = "\n".join([*words, ""]), []
         if "<|" in lines or WIDE.search(lines):
             whole = [k for k, w in enumerate(words) if "<|" in w or WIDE.search(w)]
@@ -107,6 +121,9 @@ class Tokens:
         pieces = _PRE.findall(lines.lower())
         slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
+        met = np.bincount(slots, minlength=self.store.n)
+        met[: len(self.met)] += self.met
+        self.met = met
         sizes = self.store.lens[slots]
         ids = gather(self.store.items, self.store.starts[slots], sizes)
         ends = np.cumsum(sizes)[slots == 0]
@@ -126,7 +143,8 @@ class Tokens:
         ids, starts, lens = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = coded.indices.to_numpy()
         ends = np.cumsum(counts)
-        sums = np.concatenate([[0], np.cumsum(lens[codes])])[np.concatenate([[0], ends])]  # ids before each text
+        sums = np.concatenate([[0], np.cumsum(lens[codes])[ends[ends > 0] - 1]])  # ids before each text
+        sums = np.concatenate([np.zeros(len(ends) + 1 - len(sums), np.int64), sums])
         first = at = 0
         while first < len(counts):
             last = min(int(np.searchsorted(sums, sums[first] + block)), len(counts))
@@ -177,7 +195,10 @@ class Coder:
     def __init__(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        # What a slot of the table decodes to, in one number: its id, the id's frequency less 1, and the place among the id's slots.
+        ids = np.repeat(np.arange(len(freq), dtype=np.uint64), freq)
+        place = np.arange(len(ids), dtype=np.uint64) - self.start[ids.astype(np.int64)]
+        self.slots = (ids << (SHIFT + SHIFT)) | ((self.freq[ids.astype(np.int64)] - ONE) << SHIFT) | place
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, stretches: int = STRETCHES) -> bytes:
         n = len(ids)
@@ -190,16 +211,19 @@ class Coder:
         words: list[np.ndarray] = []
         points: dict[int, np.ndarray] = {}
         sizes = np.zeros(steps + 1, np.int64)
-        freqs, starts = self.freq[rows], self.start[rows]
+        freqs, starts = self.freq.take(rows), self.start.take(rows)
+        turns = np.empty(lanes, np.uint64)
         for t in range(steps - 1, -1, -1):
             f = freqs[t]
-            full = state >= f << np.uint64(63 - BITS)
-            out = state[full]
-            words.append((out & np.uint64(0xFFFFFFFF)).astype("<u4"))
+            full = np.flatnonzero(state >= f << np.uint64(63 - BITS))
+            out = state.take(full)
+            words.append(out.astype("<u4"))  # the low half
             sizes[t] = len(out)
             state[full] = out >> WORD_BITS
-            turns = state // f
-            state = (turns << SHIFT) + (state - turns * f) + starts[t]
+            np.floor_divide(state, f, out=turns)
+            turns *= GOAL - f  # state becomes (turns << BITS) + (state - turns * f) + start
+            state += turns
+            state += starts[t]
             if t in cuts:
                 points[t] = state.copy()
         places = np.concatenate([[0], np.cumsum(sizes[:-1])]) if steps else np.zeros(1, np.int64)
@@ -227,12 +251,14 @@ class Coder:
         out = np.empty((last - first, len(state)), np.uint32)
         at = 0
         for t in range(last - first):
-            slot = state & MASK
-            s = out[t] = self.symbol[slot]
-            state = self.freq[s] * (state >> SHIFT) + slot - self.start[s]
-            low = state < LOW
-            n = int(np.count_nonzero(low))
-            state[low] = (state[low] << WORD_BITS) | words[at : at + n]
+            met = self.slots.take((state & MASK).view(np.int64))
+            out[t] = met >> (SHIFT + SHIFT)
+            state >>= SHIFT
+            state *= ((met >> SHIFT) & MASK) + ONE
+            state += met & MASK
+            low = np.flatnonzero(state < LOW)
+            n = len(low)
+            state[low] = (state.take(low) << WORD_BITS) | words[at : at + n]
             at += n
         return out.reshape(-1)
 

@@ -55,6 +55,21 @@ def test_each_distinct_word_is_met_once(monkeypatch):
     assert cut == ["über\ndon't\n42\n\n\n"] and whole == ["it’s", "<|endoftext|>"]
 
 
+def test_usual_words_stay_known_when_the_store_is_full():
+    own = tokenfile.Tokens(WORDS, max_pieces=12)
+    model, new = own.model, []
+
+    class Model:
+        def tokenize(self, shown):
+            new.append(shown)
+            return model.tokenize(shown)
+
+    own.model = Model()
+    for k in range(20):
+        encoded(own, ["the, (the) the. " + " ".join(f"{chr(97 + k)}{chr(97 + j)}" for j in range(8))], 1 << 24, 1)
+    assert new.count("the") == 1 and len(own.slots) < 40
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokenfile.Tokens(BYTES)
