@@ -153,7 +153,7 @@ class Tokens:
             first, at = last, int(ends[last - 1])
 
 
-def groups(texts: pa.Array, size: int = 1 << 24) -> Iterator[pa.Array]:
+def groups(texts: pa.Array, size: int = 3 << 23) -> Iterator[pa.Array]:
     """A batch's texts in slices of at least one text and about ``size`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = at = 0
