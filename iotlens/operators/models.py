@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iotlens.functions.numeric import score_from_outputs
-from iotlens.operators import evaluate
+from iotlens.operators import boosting, evaluate
 from iotlens.operators.perceptron import fit as fit_perceptron
 from iotlens.schemas import FEATURE_SETS, FEATURES
 
@@ -173,6 +173,8 @@ def fit(rows: DataFrame, model: str, features: Sequence[str] = FEATURES, builder
             return PipelineModel([*prepared.stages, fit_perceptron(learner, prepared.transform(kept), "n"), back])
         if not learner.isDefined(learner.weightCol):
             learner = learner.copy({learner.weightCol: "n"})
+        if boosting.follows(learner) and size <= boosting.MOST_ROWS:
+            return PipelineModel([*prepared.stages, boosting.fit(learner, prepared.transform(kept), len(names)), back])
         learner = _same_penalty(learner, kept)
         return PipelineModel([*prepared.stages, learner.fit(prepared.transform(kept)), back])
     finally:
